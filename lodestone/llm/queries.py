@@ -42,7 +42,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
         SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
-               array_to_string(list_transform(range(32), i -> substr('{warc.BASE32}',
+               array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}',
                    ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
