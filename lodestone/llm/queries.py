@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, digest, langid, simhash, warc
+from . import bpe, digest, hmm, langid, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_quartile_digest": op3_quartile_digest,
     "op4_warc_archive": op4_warc_archive,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
