@@ -25,6 +25,8 @@ TAILS = 2048
 #: Words with at least this share of the training tokens are classes of their own; so are some with
 #: half of it or more, which makes at most 2 / ``FREQUENT`` such classes.
 FREQUENT = 1 / 250_000
+#: and no word with fewer training tokens is one, since its states could not be told.
+LEAST = 50
 #: Rounds of Baum-Welch over all training rows, after rounds over a sample of segments that gives
 #: them a start.
 ROUNDS, WARM_ROUNDS, WARM_SEGMENTS = 3, 12, 2048
@@ -32,7 +34,7 @@ ROUNDS, WARM_ROUNDS, WARM_SEGMENTS = 3, 12, 2048
 SEGMENT = 128
 #: Added to each count of a token; to expected counts of classes (by the class's share) and states.
 ADD = 0.1
-_CLASS_PRIOR, _MOVE_PRIOR = 20.0, 1.0
+_CLASS_PRIOR, _MOVE_PRIOR = 500.0, 1.0
 #: Sequences that are worked on together, step by step.
 LANES = 2048
 
@@ -134,7 +136,8 @@ def frequent(train: DataFrame, text_col: str) -> Classes:
 
     Each task sends those of its summary with a quarter of the share in it; if a word has the share
     over all, the sum of what is sent is at least half of it.  So none is missed, at most
-    2 / ``FREQUENT`` words reach the driver, and no other word has more than the share.
+    2 / ``FREQUENT`` words reach the driver, and no other word has more than the share (or, in a
+    small corpus, ``LEAST`` tokens or a few more).
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,7 @@ def frequent(train: DataFrame, text_col: str) -> Classes:
 
     sent = staged(train.select(text_col).mapInArrow(local, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-frequent")
     total = sent.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    rows = sent.where(F.col("word").isNotNull() & (F.col("n") >= max(1.0, total * FREQUENT / 2))).select("word").toPandas()
+    rows = sent.where(F.col("word").isNotNull() & (F.col("n") >= max(LEAST, total * FREQUENT / 2))).select("word").toPandas()
     return Classes(np.sort(rows["word"].to_numpy(np.int64).view(np.uint64)))
 
 
