@@ -99,13 +99,14 @@ def lookup(left: DataFrame, key: str, right: DataFrame, weight: str, total: int,
     A key with over ``total / slots`` rows is hot: there are fewer than ``slots`` of them, whatever
     the input, so these rows of ``right`` are broadcast.  The rest is an ordinary shuffle join, in
     which the hot rows and rows without key are dealt evenly.  ``right`` must be cheap to read twice.
+    (The salt of cold rows, always 0, is no literal, as the optimizer would take it out of the join.)
     """
     names = [c for c in right.columns if c != key]
     hot = right.where(F.col(weight) * slots > F.lit(total)).select(
         F.col(key).alias("__k"), F.struct(*names).alias("__hot")
     )
     cold = right.where(F.col(weight) * slots <= F.lit(total)).select(
-        F.col(key).alias("__k"), F.lit(0).cast("long").alias("__salt"), F.struct(*names).alias("__cold")
+        F.col(key).alias("__k"), F.pmod(F.xxhash64(key), F.lit(1)).alias("__salt"), F.struct(*names).alias("__cold")
     )
     marked = left.join(F.broadcast(hot), left[key] == F.col("__k"), "left").drop("__k")
     free = F.col("__hot").isNotNull() | F.col(key).isNull()
