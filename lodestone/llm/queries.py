@@ -80,14 +80,14 @@ ORACLE_SQL: dict[str, str] = {
     "op10_decontamination": f"""
         WITH dw AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
         iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-        ds AS (SELECT doc_id, w, unnest(range(1, len(w) - {decontam.SHINGLE - 2})) AS at FROM dw),
-        dg AS (SELECT doc_id, len(w) - {decontam.SHINGLE - 1} AS n, at, array_to_string(w[at:at + {decontam.SHINGLE - 1}], ' ') AS g FROM ds),
-        isx AS (SELECT item_id, w, unnest(range(1, len(w) - {decontam.SHINGLE - 2})) AS at FROM iw),
-        ig AS (SELECT item_id, len(w) - {decontam.SHINGLE - 1} AS m, array_to_string(w[at:at + {decontam.SHINGLE - 1}], ' ') AS g, count(*) AS k FROM isx GROUP BY ALL),
-        hits AS (SELECT doc_id, item_id, n, m, at, g, k FROM dg JOIN ig USING (g)),
-        starts AS (SELECT DISTINCT doc_id, item_id, n, m, unnest(range(greatest(1, at - m + 1), least(at, greatest(n - m + 1, 1)) + 1)) AS s FROM hits),
+        ds AS (SELECT doc_id, w, unnest(range(1, len(w) - {decontam.SHINGLE - 2})) AS pos FROM dw),
+        dg AS (SELECT doc_id, len(w) - {decontam.SHINGLE - 1} AS n, pos, array_to_string(w[pos:pos + {decontam.SHINGLE - 1}], ' ') AS g FROM ds),
+        isx AS (SELECT item_id, w, unnest(range(1, len(w) - {decontam.SHINGLE - 2})) AS pos FROM iw),
+        ig AS (SELECT item_id, len(w) - {decontam.SHINGLE - 1} AS m, array_to_string(w[pos:pos + {decontam.SHINGLE - 1}], ' ') AS g, count(*) AS k FROM isx GROUP BY ALL),
+        hits AS (SELECT doc_id, item_id, n, m, pos, g, k FROM dg JOIN ig USING (g)),
+        starts AS (SELECT DISTINCT doc_id, item_id, n, m, unnest(range(greatest(1, pos - m + 1), least(pos, greatest(n - m + 1, 1)) + 1)) AS s FROM hits),
         counts AS (SELECT doc_id, item_id, n, m, s, g, least(count(*), any_value(k)) AS c
-                   FROM starts JOIN hits USING (doc_id, item_id, n, m) WHERE at BETWEEN s AND s + m - 1 GROUP BY ALL),
+                   FROM starts JOIN hits USING (doc_id, item_id, n, m) WHERE pos BETWEEN s AND s + m - 1 GROUP BY ALL),
         likeness AS (SELECT doc_id, item_id, sum(c) / (m + least(m, n) - sum(c)) AS similarity FROM counts GROUP BY doc_id, item_id, n, m, s)
         SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity FROM likeness WHERE similarity >= {decontam.SIMILAR} GROUP BY ALL
     """,
