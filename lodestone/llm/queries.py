@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, digest, hmm, langid, licenses, simhash, warc
+from . import bpe, decontam, digest, hmm, langid, licenses, pii, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(_table(spark, sf_dir, "pages")).drop("verified")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_quartile_digest": op3_quartile_digest,
     "op4_warc_archive": op4_warc_archive,
+    "op5_personal_data": op5_personal_data,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_license_digests": op8_license_digests,
