@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, digest, hmm, langid, licenses, pii, simhash, warc
+from . import bpe, decontam, digest, hmm, langid, licenses, pii, sentencepiece, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_quartile_digest": op3_quartile_digest,
     "op4_warc_archive": op4_warc_archive,
