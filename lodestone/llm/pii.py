@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lookup, map_texts, staged
+from .shared import lookup, map_texts, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct trusted instances and confidence that a pattern needs.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
+#: Trusted patterns (of some 50 bytes) that are broadcast at most, to mask texts in one pass.
+SHIPPED = 100_000
 #: Where the words around an entity are looked for, in code points to each side.
 NEAR = 48
 
@@ -161,6 +163,14 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
     return scored(now).where(F.col("confidence") >= CONFIDENCE).select("pattern")
 
 
+def _learned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences ``(row, start, kind, end, seed, instance, pattern)`` and trusted patterns."""
+    seen = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    linked = seen.select("row", "start", "kind", "end", "seed", "instance", F.explode("patterns").alias("pattern"))
+    edges = linked.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    return linked, staged(trusted_patterns(edges), "pii-trusted")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, base, spans)`` for each row: arrays of ``(start, kind, end)`` in order of start, then
     kind; offsets in code points, end exclusive.
@@ -170,15 +180,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     are not read; an empty table gives an empty result.  Texts are read once and don't move.
     """
     rows = staged(entities(docs, id_col, text_col), "pii-rows")
-    seen = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    linked = seen.select("row", "start", "kind", "end", "seed", "instance", F.explode("patterns").alias("pattern"))
-    edges = linked.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    trusted = staged(trusted_patterns(edges), "pii-trusted")
+    linked, trusted = _learned(rows)
     spots = linked.where("not seed")
-    # Spots of a trusted pattern: a semi join whose right side is one row a pattern.
     totals = spots.groupBy("pattern").agg(F.count("*").alias("n")).join(trusted, "pattern", "left_semi").withColumn("ok", F.lit(True))
-    totals = staged(totals, "pii-spots")
-    met = lookup(spots, "pattern", totals, "n", spots.count()).where("ok")
+    met = lookup(spots, "pattern", staged(totals, "pii-spots"), "n", spots.count()).where("ok")
     added = met.select("row", F.struct("start", "kind", "end").alias("span")).distinct().groupBy("row").agg(F.collect_set("span").alias("added"))
     none = F.array().cast(f"array<{_SPAN}>")
     joined = rows.select("row", "id", "spans").join(added.withColumnRenamed("row", "row_"), F.col("row") == F.col("row_"), "left")
@@ -203,33 +208,48 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def _mask(text: str, spans: list[dict]) -> str:
+def _mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
-        at = max(at, s["end"])
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, end)
     return "".join(out) + text[at:]
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with each span of the text replaced by its kind in brackets
-    (overlapping spans by that of the first).
+    (overlapping spans by that of the first).  Null texts stay null.
 
-    Rows are written with a number first, so that spans, found on ``(number, text)`` alone, meet
-    their row again whatever ids repeat or are null.
+    Two passes over the texts: one learns the trusted patterns, one masks by them where the rows
+    lie.  If there are over ``SHIPPED`` patterns, so that they can't be broadcast, rows are written
+    with a number and joined with their spans instead.
     """
     names = docs.columns
-    numbered = staged(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*names).alias("__all")), "pii-docs")
-    found = find(numbered.select("__row", F.col("__all")[text_col].alias("text")), "__row", "text")
-    found = found.where(F.size("spans") > 0).select(F.col("__row").alias("__found"), "spans")
-    joined = numbered.join(found, F.col("__row") == F.col("__found"), "left")
-    plain = joined.where("spans is null").select("__all.*")
-    held = joined.where("spans is not null").select(F.col("__all")[text_col].alias("text"), "spans", *[F.col("__all")[c].alias(f"__{i}") for i, c in enumerate(names)])
+    linked, trusted = _learned(staged(entities(docs.select(F.lit(0).alias("id"), text_col), "id", text_col), "pii-rows"))
+    at = names.index(text_col)
+    if trusted.count() <= SHIPPED:
+        shipped = docs.sparkSession.sparkContext.broadcast({r[0] for r in trusted.collect()})
 
-    def step(batch: pa.RecordBatch) -> dict:
-        texts = [_mask(t, s) for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        return {f"__{i}": (texts if c == text_col else batch.column(2 + i)) for i, c in enumerate(names)}
-
-    schema = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
-    return plain.unionByName(map_texts(held, "text", schema, step).toDF(*names))
+        def spans_of(text: str, _) -> list[tuple[int, int, int]]:
+            base = base_spans(text)
+            found = [s for s in candidates(text, base) if any(p in shipped.value for p in contexts(text, *s))] if shipped.value else []
+            return sorted(base + found)
+
+        rows = docs
+    else:
+        numbered = staged(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*names).alias("__all")), "pii-docs")
+        found = find(numbered.select("__row", F.col("__all")[text_col].alias("text")), "__row", "text")
+        rows = numbered.join(found.select(F.col("__row").alias("__found"), "spans"), F.col("__row") == F.col("__found"), "left").select("__all.*", F.col("spans").alias("__spans"))
+
+        def spans_of(text: str, held) -> list[tuple[int, int, int]]:
+            return [(s["start"], s["kind"], s["end"]) for s in held or []]
+
+    def run(batches):
+        for batch in slices(batches, text_col):
+            held = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows
+            texts = [t if t is None else _mask(t, spans_of(t, h)) for t, h in zip(batch.column(at).to_pylist(), held, strict=True)]
+            columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, docs.schema)

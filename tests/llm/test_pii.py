@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,7 +54,9 @@ def test_bootstrap_finds_unseen(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
-def test_masked_keeps_rows_and_columns(spark):
+@pytest.mark.parametrize("shipped", [100, -1])
+def test_masked_keeps_rows_and_columns(spark, monkeypatch, shipped):
+    monkeypatch.setattr(pii, "SHIPPED", shipped)
     docs = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "7 spans", "'k' `__all`")
     out = pii.masked(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
