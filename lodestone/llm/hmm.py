@@ -283,9 +283,12 @@ def rare_words(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     Every distinct rare word of a row goes once to the partition of its hash, where it is counted;
     no word there has over ``FREQUENT`` of the training tokens (and, as rows are held out by a hash,
-    about as much of the others).  Rows get one sum from each partition.
+    about as much of the others).  A partition sends one packed array of its sums by row to each
+    group of rows, where they are added up; the driver adds up ``TAILS`` numbers a partition.
     """
 
+    n = partitions(rows.sparkSession)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "rare"):
             ids, learn, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
@@ -307,16 +310,28 @@ def rare_words(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
         own, where = np.unique(row, return_inverse=True)
         score = np.bincount(where, weights=size * np.log10(c[at] + ADD))
         known = np.bincount(where, weights=size * (c[at] > 0)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(score), pa.array(known)], names=["row", "score", "known"])
         kinds = np.bincount((pack[first] >> 33)[c > 0], minlength=TAILS)
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(TAILS)), pa.array(np.zeros(TAILS)), pa.array(kinds)], names=["row", "score", "known"])
+        group = (_mixed(own.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        groups, starts = np.unique(group[order], return_index=True)
+        parts = [b"".join(x[o].tobytes() for x in (own, score, known)) for o in np.split(order, starts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *groups.tolist()], pa.int32()), pa.array([kinds.astype(np.int64).tobytes(), *parts], pa.binary())], names=["group", "sums"])
 
-    dealt = pairs.repartition(partitions(rows.sparkSession), "word").mapInArrow(count, "row long, score double, known long")
-    summed = staged(dealt.groupBy("row").agg(F.sum("score").alias("rare_score"), F.sum("known").alias("rare_known")), "lm-rare")
+    dealt = staged(pairs.repartition(n, "word").mapInArrow(count, "group int, sums binary"), "lm-rare")
     kinds = np.zeros(TAILS, np.int64)
-    for r in summed.where("row < 0").collect():
-        kinds[-1 - r["row"]] = r["rare_known"]
-    return summed.where("row >= 0"), kinds
+    for r in dealt.where("group < 0").toLocalIterator():
+        kinds += np.frombuffer(r["sums"], np.int64)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of a group, as three arrays end to end: row, score, known.
+        parts = [np.frombuffer(x, np.int64).reshape(3, -1) for b in batches for x in b.column(1).to_pylist()]
+        if parts:
+            row, score, known = np.concatenate(parts, axis=1)
+            own, where = np.unique(row, return_inverse=True)
+            sums = [np.bincount(where, weights=score.copy().view(np.float64)), np.bincount(where, weights=known).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, sums)], names=["row", "rare_score", "rare_known"])
+
+    return dealt.where("group >= 0").repartition(n, "group").mapInArrow(gather, "row long, rare_score double, rare_known long"), kinds
 
 
 _SUMS = [f"x{k}" for k in range(STATES)]
