@@ -1,0 +1 @@
+"""Batch and streaming retrieval, answering and guardrail analytics as DataFrame transforms."""
