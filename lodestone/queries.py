@@ -340,11 +340,11 @@ _SQL_BM25 = f"""tok AS (SELECT id, classification, {sql_tokens('text')} AS t FRO
     qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({sql_terms('query')}) AS term FROM asked) GROUP BY ALL),
     sp0 AS (SELECT query_id, p.id, sum(times * ln((n_chunks - df + 0.5) / (df + 0.5) + 1) * (tf * {1 + retrieval.K1}) / (tf + {retrieval.K1} * ({1 - retrieval.B} + {retrieval.B} * n / avg_n))) AS score
         FROM qt JOIN post p USING (term) JOIN dfs USING (term) JOIN lens USING (id) JOIN tok USING (id) CROSS JOIN stats WHERE classification <= {CLEARANCE} GROUP BY ALL),
-    sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp0 QUALIFY rank <= 100)"""
+    sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sp0 QUALIFY rank <= 100)"""
 _SQL_DENSE = f"""de0 AS (SELECT query_id, id, list_dot_product(embedding::DOUBLE[], vector::DOUBLE[]) AS score FROM chunks CROSS JOIN asked WHERE classification <= {CLEARANCE}),
-    de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM de0 QUALIFY rank <= 100)"""
+    de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM de0 QUALIFY rank <= 100)"""
 _SQL_FUSE = f"""fu0 AS (SELECT query_id, id, sum(1 / ({retrieval.RRF_K} + rank)) AS score FROM (SELECT query_id, id, rank FROM de UNION ALL SELECT query_id, id, rank FROM sp) GROUP BY ALL),
-    fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fu0 QUALIFY rank <= 50)"""
+    fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fu0 QUALIFY rank <= 50)"""
 
 
 @query(f"WITH {_SQL_CHUNKS}, {_SQL_BM25} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM sp WHERE rank <= 10")
@@ -371,7 +371,7 @@ def rank_fusion(spark, d):
 @query(f"""WITH {_SQL_CHUNKS}, {_SQL_BM25}, {_SQL_DENSE}, {_SQL_FUSE}, best AS (SELECT query_id, greatest(max(score), 1e-6) AS top FROM sp GROUP BY query_id),
     sc AS (SELECT fu.query_id, fu.id, {retrieval.DENSE_WEIGHT} * coalesce(de.score, 0) + {retrieval.SPARSE_WEIGHT} * coalesce(sp.score / top, 0) AS score
         FROM fu LEFT JOIN de ON de.query_id = fu.query_id AND de.id = fu.id LEFT JOIN sp ON sp.query_id = fu.query_id AND sp.id = fu.id LEFT JOIN best ON best.query_id = fu.query_id)
-    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM sc WHERE score >= 0 QUALIFY rank <= 10""")
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sc WHERE score >= 0 QUALIFY rank <= 10""")
 def hybrid_search(spark, d):
     hits = retrieval.hybrid(_chunks(spark, d), _queries(spark, d))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -385,7 +385,7 @@ def diverse_search(spark, d):
 
 
 @query(f"""WITH {_SQL_CHUNKS}, {_SQL_DENSE}, m AS (SELECT query_id // 4 AS parent, id, max(score) AS score FROM de WHERE rank <= 10 GROUP BY ALL)
-    SELECT parent, id, round(score, 6) AS score, row_number() OVER (PARTITION BY parent ORDER BY score DESC, id)::INT AS rank FROM m QUALIFY rank <= 20""")
+    SELECT parent, id, round(score, 6) AS score, row_number() OVER (PARTITION BY parent ORDER BY round(score, 9) DESC, id)::INT AS rank FROM m QUALIFY rank <= 20""")
 def merged_search(spark, d):
     q = _queries(spark, d)
     hits = retrieval.dense(_chunks(spark, d).drop("text"), q, 10)
