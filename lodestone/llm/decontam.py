@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import staged
 
@@ -75,11 +74,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The similarity is the weighted Jaccard of the shingles of five words, their numbers as weights.
     An item of fewer words is one shingle of all its words.  A window has as many shingles as the
-    item (or the document, if that is shorter).  A window that shares no shingle with an item has
-    similarity 0, and shifting a window to where a shared shingle lies in the item loses nothing,
-    unless it lies between two such places: so windows start at those places and, where two are
-    near, between them.  Null and empty texts match nothing; rows with equal ids count as one
-    document; a null id is an id; other columns are not read; empty tables give an empty result.
+    item (or the document, if that is shorter).  Moving a window on to the next shingle that the item
+    has loses nothing: so windows start at each of those (or as far on as the document allows), in
+    whatever order the item has them, unless too few of them follow for the similarity.  Null and
+    empty texts match nothing; rows with equal ids count as one document; a null id is an id; other
+    columns are not read; empty tables give an empty result.
 
     Documents are read twice; only (row, item, place) moves, unless so many rows share shingles with
     items that the list of them can't be broadcast.  No step brings the rows of an item together.
@@ -100,11 +99,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     places = items.select("item", "m", F.least("n_words", F.lit(SHINGLE)).alias("size"), F.posexplode("shingles").alias("offset", "shingle"))
     hits = exploded.join(_small(places, n_shingles), ["shingle", "size"])
     n = F.greatest(F.col("n_words") - F.col("size") + 1, F.lit(1))
-    start = F.greatest(F.least(F.col("at") - F.col("offset"), n - F.col("m")), F.lit(0))
-    starts = hits.select("doc", "mark", "item", "m", "size", start.alias("start"), F.greatest(n - F.col("m"), F.lit(0)).alias("last")).distinct()
-    ahead = F.lead("start").over(Window.partitionBy("doc", "mark", "item", "m", "size").orderBy("start"))
-    near = F.when(ahead - F.col("start") <= F.col("m") / 4, ahead - 1).otherwise(F.col("start"))
-    starts = starts.withColumn("to", near).select("doc", "mark", "item", "m", "size", F.explode(F.sequence("start", F.greatest("start", "to"))).alias("start"))
+    held = hits.groupBy("doc", "mark", "item", "m", "size", n.alias("n")).agg(F.sort_array(F.collect_set("at")).alias("places"))
+    last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
+    need = F.ceil((F.col("m") + F.least("m", "n")) * (similar / (1 + similar)) - 1e-6).cast("int")
+    held = held.select("doc", "mark", "item", "m", "size", "places", last.alias("last"), F.greatest(need, F.lit(1)).alias("need"))
+    full = lambda at, i: F.try_element_at(F.col("places"), i + F.col("need")) < F.least(at, F.col("last")) + F.col("m")
+    fit = F.transform(F.filter("places", full), lambda at: F.least(at, F.col("last")))
+    starts = held.select("doc", "mark", "item", "m", "size", F.explode(F.array_distinct(fit)).alias("start"))
     wanted = staged(starts.groupBy("doc", "mark").agg(F.collect_list(F.struct("item", "m", "size", "start")).alias("windows")), "windows")
     n_windows = wanted.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).head()[0]
 

@@ -62,3 +62,17 @@ def test_same_as_brute_force(spark):
         decontam.BROADCAST_ROWS = before
     for x, y in ((a.limit(0), b), (a, b.limit(0))):
         assert decontam.contaminated(x, y).count() == 0
+
+
+def test_reordered_items(spark):
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(60)]
+    around = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(1, " ".join(words)), (2, " ".join(f"u{k}" for k in range(100)))]
+    long = items[1][1].split()
+    docs = [(1, " ".join(around(80) + words[30:] + words[:30] + around(80))), (2, " ".join(words[30:] + words[:30])), (3, " ".join(around(9) + words[30:] + words[:30]))]
+    docs += [(4, " ".join(long[30:60] + long[:30] + long[60:] + around(200))), (5, " ".join(words[45:] + words[30:45] + words[15:30] + words[:15]))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(a, b).collect()}
+    want = {k: round(v, 9) for k, v in brute(docs, items).items()}
+    assert got == want and {(1, 1), (2, 1), (3, 1), (4, 2)} <= set(want)
