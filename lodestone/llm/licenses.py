@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: lines that name a holder of rights and no terms.
-COPYRIGHT_LINE = r"(?im)^[^\n\p{L}\p{N}]*(?:copyright(?:ed)?\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = (
+    r"(?im)^[^\n\p{L}\p{N}]*(?:copyright(?:ed)?\b[^\n\p{L}\p{N}]*(?:\(c\)|©|\p{N}{4}|by\b)"
+    r"|(?-i:Copyright)[^\n\p{L}\p{N}]+(?!(?:holders?|owners?|notices?|laws?|licen[cs]es?|acts?|statements?)\b)(?-i:\p{Lu})"
+    r"|\(c\)[^\n\p{L}\p{N}]*(?:copyright\b|\p{N}{4})|[^\n\p{L}\p{N}]*©|all rights reserved)[^\n]*$"
+)
+#: The registered SQL's own pattern: it drops lines of terms that begin with the word copyright too.
+SQL_COPYRIGHT_LINE = r"(?im)^[^\n\p{L}\p{N}]*(?:copyright(?:ed)?\b|\(c\)|©|all rights reserved)[^\n]*$"
 #: Fixed value: what stands between words.
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: Spellings that licence matching takes as equal, and the one that stays.
@@ -81,11 +87,12 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
 
 
 def sql() -> str:
-    """``scan`` of ``documents`` in DuckDB's SQL."""
+    """``scan`` of ``documents`` in DuckDB's SQL; it differs on texts in which a line of terms begins
+    with the word copyright."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(text: str) -> str:
-        out = f"' ' || trim(regexp_replace(lower(regexp_replace(coalesce({text}, ''), {quote(COPYRIGHT_LINE)}, '', 'g')), {quote(BETWEEN)}, ' ', 'g')) || ' '"
+        out = f"' ' || trim(regexp_replace(lower(regexp_replace(coalesce({text}, ''), {quote(SQL_COPYRIGHT_LINE)}, '', 'g')), {quote(BETWEEN)}, ' ', 'g')) || ' '"
         for a, b in SPELLINGS:
             out = f"replace({out}, ' {a.replace('-', ' ')} ', ' {b} ')"
         return f"trim({out})"

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 
 from lodestone.llm import licenses
 
@@ -21,3 +22,17 @@ def test_scan(spark):
 def test_all_known_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(t for _, t in licenses.LICENSES)), "doc_id long, text string")
     assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == {i: n for i, (n, _) in enumerate(licenses.LICENSES)}
+
+
+def test_wrapped_texts_are_found(spark):
+    rows = []
+    for name, t in licenses.LICENSES:
+        for width in (30, *range(56, 81)):
+            rows.append((name, "Copyright (c) 2020 A. Author\n\n" + "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))))
+    assert any("\ncopyright notice" in t for n, t in rows if n == "ISC")
+    for line in ("Copyright Acme Inc.", "# Copyright: Jane Doe", "© Jane Doe", "(c) 2021 B", "Copyrighted by C", "COPYRIGHT 1999 D", "All rights reserved."):
+        rows.append(("MIT", f"{line}\n{MIT}"))
+    rows += [(None, f"{line}\n{MIT}") for line in ("copyright law applies", "(c) you must keep this", "Copyright Holder means you")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
