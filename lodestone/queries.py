@@ -167,7 +167,7 @@ def entity_counts(spark, d):
 @query()
 def snippets(spark, d):
     b = table(spark, d, "benchmark").select(F.col("text").alias("q"), F.col("item_id"))
-    return documents(spark, d).join(F.broadcast(b.limit(64)), F.col("doc_id") == F.col("item_id")).select("doc_id", text.best_snippet(F.col("text"), F.col("q"), 200).alias("snippet"))
+    return documents(spark, d).join(b, F.col("doc_id") == F.col("item_id")).select("doc_id", text.best_snippet(F.col("text"), F.col("q"), 200).alias("snippet"))
 
 
 @query()
