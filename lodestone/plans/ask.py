@@ -1,4 +1,5 @@
-"""The ask plan: guard, cache, retrieval, answer, output guard, for a batch of queries."""
+"""The ask plan: guard, retrieval, answer, output guard, for a batch of queries.  Cache probe and put,
+audit and the agent loop are not part of it."""
 
 from __future__ import annotations
 
