@@ -27,9 +27,8 @@ TAILS = 2048
 FREQUENT = 1 / 250_000
 #: and no word with fewer training tokens is one, since its states could not be told.
 LEAST = 50
-#: Rounds of Baum-Welch over all training rows, after rounds over a sample of segments that gives
-#: them a start.
-ROUNDS, WARM_ROUNDS, WARM_SEGMENTS = 3, 12, 2048
+#: Rounds of Baum-Welch, each over all training rows.
+ROUNDS = 15
 #: For training, texts are cut into sequences of this many tokens; all of them are used.
 SEGMENT = 128
 #: Added to each count of a token; to expected counts of classes (by the class's share) and states.
@@ -358,15 +357,6 @@ def train(rows: DataFrame, classes: Classes, mass: np.ndarray) -> Model:
     size, kind = classes.size, classes.kind
     model = Model.fresh(mass / mass.sum())
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "classes"):
-            cut = [s.astype(np.int32).tobytes() for s in segments([np.frombuffer(c, kind) for c in batch.column(0).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["segment"])
-
-    few = rows.select("classes").mapInArrow(sample, "segment binary").orderBy(F.xxhash64("segment"), "segment").limit(WARM_SEGMENTS)
-    few = [np.frombuffer(r[0], np.int32) for r in few.collect()]
-    for _ in range(WARM_ROUNDS if few else 0):
-        model = model.updated(*expected(model, few)[:3])
     for _ in range(ROUNDS):
         shipped = spark.sparkContext.broadcast(model)
 

@@ -81,3 +81,19 @@ def test_scores(spark, sf_dir, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert hmm.score(docs).count() == 0
+
+
+def test_all_rounds_run_over_partitions(spark, monkeypatch):
+    from lodestone.llm import hmm
+
+    real = hmm.expected
+
+    def in_task(*args):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None
+        return real(*args)
+
+    monkeypatch.setattr(hmm, "expected", in_task)
+    docs = spark.createDataFrame([(k, f"one two three four w{k % 7}") for k in range(40)], "doc_id long, text string")
+    assert hmm.score(docs).count() == 40
