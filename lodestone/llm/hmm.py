@@ -27,10 +27,11 @@ TAILS = 2048
 FREQUENT = 1 / 250_000
 #: and no word with fewer training tokens is one, since its states could not be told.
 LEAST = 50
-#: Rounds of Baum-Welch, each over all training rows.
-ROUNDS = 15
-#: For training, texts are cut into sequences of this many tokens; all of them are used.
-SEGMENT = 128
+#: Baum-Welch first goes once through the training rows in this many parts, dealt by a hash of the
+#: row, with a new model after each part; then this many times through all of them.
+PARTS, ROUNDS = 12, 3
+#: What the counts of the parts before weigh beside those of a part.
+KEPT = 0.5
 #: Added to each count of a token; to expected counts of classes (by the class's share) and states.
 ADD = 0.1
 _CLASS_PRIOR, _MOVE_PRIOR = 500.0, 1.0
@@ -242,10 +243,6 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     return start, move, emit, likelihood
 
 
-def segments(codes: list[np.ndarray]) -> list[np.ndarray]:
-    return [c[k : k + SEGMENT] for c in codes for k in range(0, len(c), SEGMENT)]
-
-
 def encoded(docs: DataFrame, classes: Classes, id_col: str, text_col: str) -> DataFrame:
     """``(row, id, learn, classes, rare, pack, n_rare)`` for each row of ``docs``: its classes with
     the end, its distinct rare words (int64), and for each of them its class and count (int64)."""
@@ -336,15 +333,17 @@ def rare_words(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
 _SUMS = [f"x{k}" for k in range(STATES)]
 
 
-def _summed(rows: DataFrame, sums) -> np.ndarray:
-    """Add up one matrix a task (rows x ``STATES``), made by ``sums`` from an iterator of pieces."""
+def _summed(rows: DataFrame, sums, kind: str = "float") -> np.ndarray:
+    """Add up one matrix a task (rows x ``STATES``), made by ``sums`` from an iterator of pieces.
+    Its numbers travel as ``kind`` (single precision will do for expected counts) and are added in
+    double precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sums(b.column(0).to_pylist() for b in slices(batches, "classes", 2 << 20))
         at = np.flatnonzero(found.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(found[at, k]) for k in range(STATES)]], names=["at", *_SUMS])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(found[at, k].astype(np.float32 if kind == "float" else np.float64)) for k in range(STATES)]], names=["at", *_SUMS])
 
-    schema = ", ".join(["at int", *[f"{x} double" for x in _SUMS]])
+    schema = ", ".join(["at int", *[f"{x} {kind}" for x in _SUMS]])
     got = rows.select("classes").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(x).alias(x) for x in _SUMS]).toPandas()
     out = np.zeros((int(got["at"].max()) + 1 if len(got) else 0, STATES))
     out[got["at"]] = got[_SUMS]
@@ -352,24 +351,33 @@ def _summed(rows: DataFrame, sums) -> np.ndarray:
 
 
 def train(rows: DataFrame, classes: Classes, mass: np.ndarray) -> Model:
-    """Baum-Welch on all of ``rows`` (encoded training rows).  ``mass``: smoothed tokens by class."""
+    """Baum-Welch on all of ``rows`` (encoded training rows), whole texts.  ``mass``: smoothed tokens
+    by class.
+
+    Every round is a job that sums expected counts over partitions.  The first ``PARTS`` rounds each
+    read another part of the rows, so together all of them once, and use the counts of the parts
+    before at a falling weight; the last ``ROUNDS`` read all rows.
+    """
     spark = rows.sparkSession
     size, kind = classes.size, classes.kind
     model = Model.fresh(mass / mass.sum())
-
-    for _ in range(ROUNDS):
+    held = np.zeros((size + STATES + 1, STATES))
+    part = F.pmod(F.xxhash64("row"), F.lit(PARTS))
+    for k in range(PARTS + ROUNDS):
         shipped = spark.sparkContext.broadcast(model)
 
         def sums(pieces, shipped=shipped) -> np.ndarray:
-            out = np.zeros((size + STATES + 2, STATES))
+            out = np.zeros((size + STATES + 1, STATES))
             for piece in pieces:
-                start, move, emit, likelihood = expected(shipped.value, segments([np.frombuffer(c, kind).astype(np.int64) for c in piece]))
-                out += np.concatenate((emit, move, start[None], np.full((1, STATES), likelihood)))
+                start, move, emit, _ = expected(shipped.value, [np.frombuffer(c, kind) for c in piece])
+                out += np.concatenate((emit, move, start[None]))
             return out
 
-        found = _summed(rows, sums)
+        found = _summed(rows.where(part == k) if k < PARTS else rows, sums)
+        held = held * KEPT if k < PARTS else held * 0
+        held[: len(found)] += found
         if len(found):
-            model = model.updated(found[size + STATES], found[size : size + STATES], found[:size])
+            model = model.updated(held[size + STATES], held[size : size + STATES], held[:size])
     return model
 
 
@@ -390,11 +398,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def sums(pieces) -> np.ndarray:
         out = np.zeros((size, STATES))
-        for piece in pieces:
+        for piece in pieces:  # in the first column alone
             out[:, 0] += np.bincount(np.frombuffer(b"".join(piece), kind), minlength=size)
         return out
 
-    counted = _summed(learning, sums)[:, 0]
+    counted = _summed(learning, sums, "double")[:, 0]
     counts = np.zeros(size, np.int64)
     counts[: len(counted)] = counted.round().astype(np.int64)
     by_row, kinds = rare_words(rows)

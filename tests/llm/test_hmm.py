@@ -97,3 +97,75 @@ def test_all_rounds_run_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(hmm, "expected", in_task)
     docs = spark.createDataFrame([(k, f"one two three four w{k % 7}") for k in range(40)], "doc_id long, text string")
     assert hmm.score(docs).count() == 40
+
+
+def plain_scores(rows, classes, model):
+    """Scores of (id, text) rows by the plain recursion, from the words' counts and a model."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    kind, own = {}, len(classes.hashes)
+    for w in {w for _, t in rows for w in words(t)}:
+        h, tails, _ = hmm.tokens([w])
+        kind[w] = int(classes.of(h, tails)[0][0])
+    seen = Counter(w for i, t in rows if not held(i) for w in words(t))
+    mass = Counter()
+    for w, n in seen.items():
+        mass[kind[w]] += n + 0.1
+    for c in range(own, classes.size - 1):
+        mass[c] += 0.1
+    out = []
+    for i, t in rows:
+        codes = [*(kind[w] for w in words(t)), classes.size - 1]
+        alpha = [model.start[s] * model.emit[codes[0], s] for s in range(hmm.STATES)]
+        total = 0.0
+        for c in codes[1:]:
+            z = sum(alpha)
+            total += math.log10(z)
+            alpha = [sum(alpha[a] / z * model.move[a, s] for a in range(hmm.STATES)) * model.emit[c, s] for s in range(hmm.STATES)]
+        total += math.log10(sum(alpha))
+        total += sum(math.log10((seen[w] + 0.1) / mass[kind[w]]) for w in words(t) if kind[w] >= own)
+        out.append((i, round(total, 6)))
+    return out
+
+
+def test_score_of_whole_table_is_the_plain_recursion(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "LEAST", 5)
+    held = {}
+    real = hmm.train
+
+    def spy(rows, classes, mass):
+        held["classes"], held["model"] = classes, real(rows, classes, mass)
+        return held["model"]
+
+    monkeypatch.setattr(hmm, "train", spy)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{min(rng.geometric(0.2), 40)}" for _ in range(rng.integers(0, 40)))) for i in range(60)] + [(None, "w1 odd"), (1, "w1 w1"), (1, "w1 w1"), (70, None)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(held["classes"].hashes) > 3
+    assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=str) == sorted(plain_scores(rows, **held), key=str)
+
+
+def test_all_rows_held_out(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, f"some words {i}") for i in ids]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, got)
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    """Every start counted is that of a text, and every move within a text is counted."""
+    docs = spark.createDataFrame([(k, "a b " * (500 + k)) for k in range(6)] + [(9, None)], "doc_id long, text string")
+    seen = []
+    real = hmm._summed
+
+    def spy(rows, sums, kind="float"):
+        found = real(rows, sums, kind)
+        if kind == "float":
+            seen.append((found, rows.count()))
+        return found
+
+    monkeypatch.setattr(hmm, "_summed", spy)
+    hmm.score(docs).collect()
+    whole, n = seen[-1]
+    tokens = sum(2 * (500 + k) + 1 for k in range(6) if zlib.crc32(str(k).encode()) % 10) + 1
+    assert len(seen) == hmm.PARTS + hmm.ROUNDS and sum(m for _, m in seen[: hmm.PARTS]) == n
+    assert whole[-1].sum() == pytest.approx(n, rel=1e-5) and whole[-1 - hmm.STATES : -1].sum() == pytest.approx(tokens - n, rel=1e-5)
