@@ -179,6 +179,19 @@ class Coder(dict):
         size = np.array([len(p) for p in parts])
         return np.cumsum(size) - size, size, np.frombuffer(b"".join(parts), np.uint8)
 
+    @cached_property
+    def _gains(self) -> np.ndarray:
+        """What each identifier adds to a path's score: a character without a piece adds ``unknown``
+        once, with the first of its bytes."""
+        out = np.array(self.pieces.score, float)
+        for b, i in enumerate(self.pieces.of_byte):
+            out[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
+        return out
+
+    def score(self, ids: np.ndarray) -> float:
+        """Score of the path that ``encode`` took: that of its Viterbi passes."""
+        return float(self._gains[ids].sum())
+
     def decode(self, ids: np.ndarray) -> str:
         start, size, data = self._bytes
         n = size[ids]
@@ -236,20 +249,19 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col:
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_pieces, score, pieces_sha256, decoded_sha256, exact)`` for each row: number and score
-    of the pieces, digests of their identifiers (4-byte little-endian) and of the decoded text, and
+    """``(id, n_pieces, score, pieces_sha256, decoded_sha256, exact)`` for each row: number of
+    pieces, score of the best path, digests of their identifiers (4-byte little-endian) and of the decoded text, and
     whether that is the text.  Cases as in ``encode``."""
     shipped, key = _ship(docs, model_path), model_path
 
     def step(batch: pa.RecordBatch) -> dict:
         coder = _coder(key, shipped)
-        scores = np.where(np.array(coder.pieces.kind) == _BYTE, 0.0, coder.pieces.score)
         out: dict[str, list] = {"n_pieces": [], "score": [], "pieces_sha256": [], "decoded_sha256": [], "exact": []}
         for text in batch.column(1).to_pylist():
             ids = coder.encode(text or "")
             back = coder.decode(ids)
             out["n_pieces"].append(len(ids))
-            out["score"].append(float(scores[ids].sum()))
+            out["score"].append(coder.score(ids))
             out["pieces_sha256"].append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
             out["exact"].append(back == (text or ""))

@@ -29,6 +29,7 @@ def test_viterbi_is_best_and_chunks_are_exact(text):
     signs = CODER.escaped(text)
     ids, score = CODER.viterbi(signs)
     assert score == pytest.approx(best(signs)) and CODER.encode(text).tolist() == ids
+    assert CODER.score(CODER.encode(text)) == pytest.approx(score)
     assert CODER.decode(CODER.encode(text)) == text
 
 
@@ -53,4 +54,6 @@ def test_tables(spark):
     assert all(r.n_pieces == len(r.pieces) for r in coded.collect())
     got = sp.round_trip(docs, PATH).collect()
     assert len(got) == len(rows) and all(r.exact for r in got)
+    texts = dict(rows)
+    assert all(r.score == pytest.approx(best(CODER.escaped(texts[r.doc_id] or ""))) for r in got)
     assert sp.encode(docs.limit(0), PATH).count() == 0 == sp.round_trip(docs.limit(0), PATH).count()
