@@ -129,15 +129,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cuts = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).head()[0] if n > 1 else []
     bounds = sorted(set(cuts or []), reverse=True)
     heads = sorted(map(tuple, ids.groupBy(_place(F.col("key"), bounds).alias("place")).agg(F.max("key")).collect()))
-    ahead = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
-    own = F.struct(_place(F.col("key"), bounds).alias("place"), F.lit(False).alias("ahead"))
-    if ahead:
-        pairs = F.create_map(*[F.lit(x).cast("bigint") for kv in ahead.items() for x in kv])
-        early = F.try_element_at(pairs, F.col("key"))
-        own = F.when(early.isNull(), F.array(own)).otherwise(F.array(own, F.struct(early.cast("int").alias("place"), F.lit(True).alias("ahead"))))
-    else:
-        own = F.array(own)
-    dealt = rows.withColumn("to", F.explode(own)).select("id", "text", "key", F.col("to.place").alias("place"), F.col("to.ahead").alias("ahead"))
+    first, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+    for i, (place, key) in enumerate(heads):
+        first[place], before[place] = key, heads[i - 1][0]
+    placed = rows.withColumn("place", _place(F.col("key"), bounds))
+    heads_of = F.get(F.lit(first).cast("array<bigint>") if heads else F.array().cast("array<bigint>"), F.col("place"))
+    own = F.struct("place", F.lit(False).alias("ahead"))
+    early = F.struct(F.get(F.lit(before).cast("array<int>"), F.col("place")).alias("place"), F.lit(True).alias("ahead"))
+    both = F.when(heads_of == F.col("key"), F.array(own, early)).otherwise(F.array(own))
+    dealt = placed.withColumn("to", F.explode(both)).select("id", "text", "key", F.col("to.place").alias("place"), F.col("to.ahead").alias("ahead"))
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("place")).sortWithinPartitions(
         "place", "ahead", F.desc("key"), "text"
     )
