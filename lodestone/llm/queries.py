@@ -32,7 +32,7 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.page_records(_table(spark, sf_dir, "pages")).drop("verified")
+    return warc.page_records(_table(spark, sf_dir, "pages"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
                array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}',
                    ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, true AS verified
         FROM p JOIN f USING (html)
     """,
     "op8_license_digests": licenses.sql(),

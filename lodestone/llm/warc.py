@@ -170,10 +170,15 @@ def records(stream: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to an archive in the shared folder, read it back, and return per page
     ``(page_id, payload_bytes, payload_digest, record_type, refers_to, verified)``, all as the
-    rebuilt records have it."""
-    spark = pages.sparkSession
-    path = fresh_path(spark, "warc")
+    rebuilt records have it.  A record whose payload is gone or isn't that of its digests has false
+    in ``verified`` (and no ``payload_bytes`` if it is gone)."""
+    path = fresh_path(pages.sparkSession, "warc")
     write_archive(pages, path, min_bytes)
+    return archived_pages(pages.sparkSession, path)
+
+
+def archived_pages(spark: SparkSession, path: str) -> DataFrame:
+    """What ``page_records`` returns, of an archive that is there already."""
     out = spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean").schema
     arrow = _arrow_schema(out)
 
@@ -183,7 +188,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             bodies = batch.column(2).to_pylist()
             columns = [
                 [int(f["Page-Id"]) if "Page-Id" in f else None for f in named],
-                [len(b) for b in bodies],
+                [None if b is None else len(b) for b in bodies],
                 [f["WARC-Payload-Digest"].removeprefix("sha1:") for f in named],
                 [f["WARC-Type"] for f in named],
                 [int(f["Page-Refers-To"]) if "Page-Refers-To" in f else None for f in named],

@@ -43,5 +43,19 @@ def test_files(spark, tmp_path):
     assert blocks["1"] == ROWS[4][2].encode() and blocks["3"] == b"<p>same</p>"
 
 
+def test_damaged_records_are_told(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "v", "two"), (3, "w", "one")], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    warc.write_archive(pages, path)
+    store = spark.read.parquet(f"{path}/payloads")
+    strong = hashlib.sha256(b"one").digest()
+    other = [r for r in store.collect() if bytes(r.strong) != strong]
+    rest = [other[0].asDict() | {"strong": bytearray(strong)}]  # the bytes of "two" under the digest of "one"; "two" is gone
+    spark.createDataFrame(rest, store.schema).write.parquet(f"{path}/new")
+    spark.read.parquet(f"{path}/new").write.mode("overwrite").parquet(f"{path}/payloads")
+    got = {r.page_id: r for r in warc.archived_pages(spark, path).collect()}
+    assert not any(r.verified for r in got.values()) and got[2].payload_bytes is None and got[1].payload_bytes == 3
+
+
 def test_empty(spark):
     assert warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
