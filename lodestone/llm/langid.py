@@ -40,20 +40,25 @@ PENALTY = 12.0
 #: A word's score for a language is not below its best one by more.
 WORD_BOUND = 8.0
 _SMOOTH = 0.5
+#: Text that is worked on at a time, in bytes; what is held beside it is some fifty times as much.
+PIECE = 1 << 20
 UNKNOWN = "und"
 
-_tables: tuple[np.ndarray, np.ndarray] | None = None
+_tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
-def letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: whether it is a letter or mark within a word, and its script."""
+def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter or mark within a word, its script, and whether it
+    is a mark."""
     global _tables
     if _tables is None:
-        letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        kinds = np.fromiter((ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)), np.uint8, 0x110000)
+        marks = kinds == ord("M")
+        letters = marks | (kinds == ord("L"))
         scripts = np.zeros(0x110000, np.uint8)
         for name, first, last in SCRIPTS:
             scripts[first : last + 1] = NAMES.index(name)
-        _tables = letters, scripts
+        _tables = letters, scripts, marks
     return _tables
 
 
@@ -66,7 +71,7 @@ def script_of(char: str) -> str:
 
 @dataclass
 class Words:
-    """The words (runs of letters) of some texts, laid end to end."""
+    """The words (runs of letters and marks with a letter in them) of some texts, laid end to end."""
 
     start: np.ndarray
     end: np.ndarray
@@ -77,13 +82,17 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    letters, scripts = letter_tables()
+    letters, scripts, marks = letter_tables()
     lowered = [t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
     joined = "\n".join(lowered) + "\n"
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letters[cps]
     edges = np.diff(np.concatenate(([0], is_letter.view(np.int8), [0])))
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if (is_mark := marks[cps]).any():
+        run = np.concatenate(([0], np.cumsum(is_mark)))
+        worded = run[end] - run[start] < end - start
+        start, end = start[worded], end[worded]
     offset = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)))
     text = np.searchsorted(offset, start, side="right") - 1
     # Trigrams of letters; the characters around a word count as one boundary sign.
@@ -118,31 +127,48 @@ class Model:
 
 def viterbi(score: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best sequence of columns: sum of scores less ``penalty`` for each change; ties: the smaller."""
-    n, m = score.shape
-    total = score.sum(axis=0)
-    best = int(total.argmax())
-    # A constant sequence is best if no stretch gains half a penalty or more by another language.
-    gain = np.cumsum(score - score[:, best : best + 1], axis=0)
-    gain = np.concatenate((np.zeros((1, m)), gain))
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty / 2:
-        return np.full(n, best, np.int64)
-    now = [0.0] * m
-    stay = np.empty((n, m), bool)
-    top = np.empty(n, np.int64)
-    for i, row in enumerate(score.tolist()):
-        lead = max(now)
-        at = now.index(lead)
-        lead -= penalty
-        top[i] = at
-        kept = [x >= lead for x in now]
-        stay[i] = kept
-        now = [(x if k else lead) + s for x, k, s in zip(now, kept, row, strict=True)]
-    out = np.empty(n, np.int64)
-    k = now.index(max(now))
-    for i in range(n - 1, -1, -1):
-        out[i] = k
-        if not stay[i, k]:
-            k = int(top[i])
+    return paths(score, np.array([0, len(score)]), penalty)[0]
+
+
+def paths(score: np.ndarray, cuts: np.ndarray, penalty: float = PENALTY) -> list[np.ndarray]:
+    """``viterbi`` of each stretch of rows between two cuts."""
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * (len(cuts) - 1)
+    mixed = []
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        own = score[a:b]
+        best = int(own.sum(axis=0).argmax()) if b > a else 0
+        # A constant sequence is best if no stretch gains half a penalty or more by another language.
+        gain = np.cumsum(own - own[:, best : best + 1], axis=0)
+        low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+        if b == a or ((gain - low).max() < penalty / 2):
+            out[k] = np.full(b - a, best, np.int64)
+        else:
+            mixed.append(k)
+    if not mixed:
+        return out
+    # The others side by side, long ones first: a step takes a row of each that is still going.
+    mixed.sort(key=lambda k: cuts[k] - cuts[k + 1])
+    sizes = np.array([cuts[k + 1] - cuts[k] for k in mixed])
+    begin = np.array([cuts[k] for k in mixed])
+    going = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    first = np.concatenate(([0], np.cumsum(going)))
+    now = np.zeros((len(mixed), score.shape[1]))
+    stay, top = np.empty((first[-1], score.shape[1]), bool), np.empty(first[-1], np.int16)
+    for t, n in enumerate(going.tolist()):
+        own, i = now[:n], first[t]
+        at = own.argmax(axis=1)
+        lead = own[np.arange(n), at][:, None] - penalty
+        np.greater_equal(own, lead, out=stay[i : i + n])
+        top[i : i + n] = at
+        now[:n] = np.maximum(own, lead) + score[begin[:n] + t]
+    k = now.argmax(axis=1)
+    told = np.empty(first[-1], np.int16)
+    for t in range(len(going) - 1, -1, -1):
+        n, i = going[t], first[t]
+        told[i : i + n] = own = k[:n]
+        k[:n] = np.where(stay[np.arange(i, i + n), own], own, top[i : i + n])
+    for lane, (j, n) in enumerate(zip(mixed, sizes.tolist(), strict=True)):
+        out[j] = told[first[:n] + lane].astype(np.int64)
     return out
 
 
@@ -153,12 +179,13 @@ def label(texts: list[str], model: Model) -> list[tuple[str, float, list[tuple[i
     scores = model.words(found)
     cuts = np.searchsorted(found.text, np.arange(len(texts) + 1))
     out = []
+    told = paths(scores, cuts)
     for t in range(len(texts)):
         a, b = int(cuts[t]), int(cuts[t + 1])
         if a == b:
             out.append((UNKNOWN, 0.0, []))
             continue
-        path = viterbi(scores[a:b])
+        path = told[t]
         size = np.bincount(path, weights=(found.end - found.start)[a:b], minlength=len(model.langs))
         k = int(size.argmax())
         turns = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
@@ -179,7 +206,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, PIECE):
             langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(0).to_pylist()]
             found = words_of(texts)
             lengths = found.end - found.start
@@ -225,7 +252,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         out = {id_col: batch.column(0), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
         return out | ({"spans": [[{"start": a, "end": b, "lang": c} for a, b, c in x[2]] for x in found]} if spans else {})
 
-    return map_texts(docs.select(id_col, text_col), text_col, schema, step)
+    return map_texts(docs.select(id_col, text_col), text_col, schema, step, PIECE)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):

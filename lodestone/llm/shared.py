@@ -70,13 +70,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, column: str, schema: str, step: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema: str, step: Callable[[pa.RecordBatch], dict | None], limit: int = BATCH_BYTES) -> DataFrame:
     """Apply ``step`` to pieces of ``df``; it returns columns by name (lists or arrays)."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = _arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column):
+        for piece in slices(batches, column, limit):
             found = step(piece)
             if found is not None:
                 yield pa.RecordBatch.from_arrays(
