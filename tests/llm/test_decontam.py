@@ -76,3 +76,37 @@ def test_reordered_items(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(a, b).collect()}
     want = {k: round(v, 9) for k, v in brute(docs, items).items()}
     assert got == want and {(1, 1), (2, 1), (3, 1), (4, 2)} <= set(want)
+
+
+def test_random_permuted_items_and_long_texts(spark):
+    """Items cut into parts that stand in any order, with words changed, in very long and in highly
+    repetitive texts: the same as brute force."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"t{rng.randrange(400)}" for _ in range(rng.choice([6, 12, 30, 60])))) for k in range(14)]
+    items += [(50, "ab cd " * 15), (51, "one two three four five six seven eight nine ten " * 3), (52, items[0][1]), (53, items[1][1].upper())]
+    docs = []
+    for d in range(60):
+        w = items[rng.randrange(14)][1].split()
+        cuts = sorted(rng.sample(range(1, len(w)), rng.choice([0, 1, 1, 2])))
+        parts = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
+        rng.shuffle(parts)
+        body = [x for p in parts for x in p]
+        if rng.random() < 0.3:
+            body[rng.randrange(len(body))] = "changed"
+        around = lambda: [f"t{rng.randrange(400)}" for _ in range(rng.randrange(40))]
+        docs.append((d, " ".join(around() + body + around())))
+    docs += [(100, "ab cd " * 3000), (101, "seven eight nine ten one two three four five six " * 400), (102, "x " * 20_000 + items[3][1] + " y" * 20_000)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(a, b).collect()}
+    small = [x for x in docs if x[0] != 102]
+    want = {k: round(v, 9) for k, v in brute(small, items).items()} | {(102, 3): 1.0}
+    assert got == want and len(want) > 30
+
+
+def test_windows_are_looked_up_among_all_items(spark):
+    """A document that holds one of two nearly equal items is near both."""
+    words = [f"p{k}" for k in range(60)]
+    items = [(1, " ".join(words)), (2, " ".join([*words[:59], "other"])), (3, " ".join(words[:30]))]
+    docs = spark.createDataFrame([(1, "before " + items[0][1] + " after")], "doc_id long, text string")
+    got = {r.item_id: r.similarity for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: 1.0, 2: 55 / 57, 3: 1.0}
