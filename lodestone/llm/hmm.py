@@ -63,14 +63,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: list[str], between: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of some texts: 64-bit hash of each, hash of its last four bytes, and how many each
-    text has.  ASCII letters count as lower case; ASCII white space separates.  A word is known by
+    text has.  ASCII letters count as lower case; the bytes of ``between`` (ASCII white space) separate.  A word is known by
     its hash: among a billion words, two share one with a chance of 3 percent."""
     data = [t.encode() for t in texts]
     joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     low = _LOWER[joined]
-    inside = ~_WHITE[joined]
+    inside = ~between[joined]
     edges = np.diff(np.concatenate(([0], inside.view(np.int8))))
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     n = len(joined)

@@ -1,28 +1,38 @@
 """Personal data by base patterns and bootstrapped contexts (operator 5).
 
-Entities that the base patterns find are seeds.  The words around them are lexical patterns; a graph
-of patterns and instances is scored in rounds (a pattern by the share of its instances that are
-trusted, an instance by its patterns), and patterns of high confidence discover identifiers that the
-base patterns do not accept.
+Entities that the base patterns find are seeds.  The words before them are lexical patterns (three
+words, backed off to two and to one).  A graph of patterns and instances is scored in rounds (a
+pattern by the share of its words' occurrences in all texts that stand before a trusted instance, an
+instance by its patterns), and patterns of high confidence discover identifiers that the base
+patterns do not accept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hmm import tokens
 from .shared import lookup, map_texts, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct trusted instances and confidence that a pattern needs.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
+#: Words of a pattern, the longest first, and what is added to its occurrences.
+DEPTHS = (3, 2, 1)
+PRIOR = 0.5
+#: Patterns whose words are counted in one pass over the texts; more are counted in further passes.
+BLOCK = 1_000_000
 #: Trusted patterns (of some 50 bytes) that are broadcast at most, to mask texts in one pass.
 SHIPPED = 100_000
-#: Where the words around an entity are looked for, in code points to each side.
-NEAR = 48
+#: The words of a pattern lie within so many code points before the entity.
+NEAR = 200
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -92,10 +102,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             n = len(_DIGIT.findall(m[0]))
             if m[0].count(".") == 3 and re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", m[0]):
                 out.append((m.start(), 1, m.end()))
-            elif 7 <= n <= 19:
-                out.append((m.start(), 3 if n < 12 else 2, m.end()))
-    taken = [(a, b) for a, _, b in base]
-    clear = lambda a, b: not any(a < y and x < b for x, y in taken)
+            else:  # those of 12 to 15 digits may be either: their patterns decide
+                if 7 <= n <= 15:
+                    out.append((m.start(), 3, m.end()))
+                if 12 <= n <= 19:
+                    out.append((m.start(), 2, m.end()))
+    # Base spans joined where they overlap, so that a binary search tells what touches one.
+    starts, ends = [], []
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def clear(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k == len(starts) or starts[k] >= b
+
     alone = lambda a, b: not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
     return [s for s in out if alone(s[0], s[2]) and clear(s[0], s[2])]
 
@@ -105,16 +129,85 @@ def instance(kind: int, found: str) -> str:
     return f"{kind}:" + (found.lower() if kind == 0 else found if kind == 1 else "".join(_DIGIT.findall(found)))
 
 
+#: What stands between the words of patterns: ASCII that isn't a letter.
+_BETWEEN = np.array([c < 0x80 and not chr(c).isalpha() for c in range(256)])
+_BEFORE = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
+
+
 def contexts(text: str, start: int, kind: int, end: int) -> list[str]:
-    """Lexical patterns: the two words before, and the words at both sides.  Digits are masked."""
-    mask = lambda w: _DIGIT.sub("0", w.lower())
-    left, right = text[max(0, start - NEAR) : start].split()[-2:], text[end : end + NEAR].split()[:1]
-    out = []
-    if len(left) == 2 and any(c.isalpha() for c in "".join(left)):
-        out.append(f"{kind}<{mask(left[0])} {mask(left[1])}")
-    if left and right and any(c.isalpha() for c in left[-1]) and any(c.isalpha() for c in right[0]):
-        out.append(f"{kind}={mask(left[-1])} {mask(right[0])}")
-    return out
+    """Lexical patterns: the last one, two and three words before an entity, whatever signs and
+    digits stand between, ASCII letters in lower case.  A word that isn't whole within ``NEAR``
+    code points ends them."""
+    a = max(0, start - NEAR)
+    found = _BEFORE.findall(text[a:start])
+    if found and a and _BEFORE.match(text[a - 1]) and _BEFORE.match(text[a]):
+        found = found[1:]
+    if found and _BEFORE.match(text[start - 1 : start]):
+        found = []  # the entity is part of a word
+    words = [w.translate(_LOWER) for w in found[-max(DEPTHS) :]]
+    return [f"{kind}<{' '.join(words[-n:])}" for n in DEPTHS if len(words) >= n]
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _runs(hashes: np.ndarray, inside: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of each run of ``depth`` words; ``inside``: how many words of its text are before each."""
+    out = hashes
+    for k in range(1, depth):
+        out = out * np.uint64(0x9E3779B97F4A7C15)
+        out[k:] += hashes[:-k]
+    return out[inside >= depth - 1]
+
+
+def occurrences(docs: DataFrame, phrases: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(words, n)``: how often each of ``phrases`` (``words``: one to three, joined by spaces)
+    occurs in the texts, wherever in them.
+
+    Every text is read once for each ``BLOCK`` phrases, whose 64-bit hashes are broadcast; tasks
+    send a number for each phrase met.
+    """
+    spark = docs.sparkSession
+    n_blocks = -(-phrases.count() // BLOCK)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            keys = np.zeros(len(words), np.uint64)
+            h, _, counts = tokens(words, _BETWEEN)
+            first = np.cumsum(counts) - counts
+            inside = np.arange(len(h)) - np.repeat(first, counts)
+            for depth in DEPTHS:
+                own = counts == depth
+                every = np.zeros(len(h), np.uint64)
+                every[inside >= depth - 1] = _runs(h, inside, depth)
+                keys[own] = every[(first + counts - 1)[own]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], names=["words", "key", "depth"])
+
+    keyed = staged(phrases.select("words").mapInArrow(hashed, "words string, key long, depth int"), "pii-phrases")
+    told = None
+    for block in range(n_blocks):
+        mine = keyed.where(F.pmod("key", F.lit(n_blocks)) == block).select("key").toPandas()["key"].to_numpy(np.int64)
+        shipped = spark.sparkContext.broadcast(np.unique(mine.view(np.uint64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            wanted = shipped.value
+            counts = np.zeros(len(wanted), np.int64)
+            for batch in slices(batches, text_col, 1 << 20):
+                h, _, n = tokens([t or "" for t in batch.column(0).to_pylist()], _BETWEEN)
+                inside = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                for depth in DEPTHS if len(wanted) else ():
+                    keys = _runs(h, inside, depth)
+                    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                    counts += np.bincount(at[wanted[at] == keys], minlength=len(wanted))
+            some = counts > 0
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(counts[some])], names=["key", "n"])
+
+        part = docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        told = part if told is None else told.unionByName(part)
+    if told is None:
+        return phrases.select("words", F.lit(0).cast("long").alias("n")).limit(0)
+    return keyed.join(told, "key").select("words", "n")
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
@@ -138,37 +231,47 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_texts(rows, "text", f"row long, id {kind}, spans array<{_SPAN}>, seen array<struct<start:int,kind:int,end:int,seed:boolean,instance:string,patterns:array<string>>>", step)
 
 
-def trusted_patterns(edges: DataFrame) -> DataFrame:
-    """``(pattern)`` of high confidence.  ``edges``: distinct ``(pattern, instance, seed)``.
+def trusted_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
+    """``(pattern)`` of high confidence.  ``edges``: distinct ``(pattern, instance, seed, times)``;
+    ``totals``: ``(pattern, n)``, how often a pattern's words occur in all texts.
 
-    A pattern's confidence is the mean score of its distinct instances (0 with too few trusted
-    ones); an instance's score is the chance that not all its patterns are wrong, and 1 for seeds.
-    Copies of one text add no instances.  Patterns and instances with very many edges are looked up
-    by broadcast, the others by a shuffle join.
+    A pattern's confidence is the share of its occurrences that stand before trusted instances (0
+    with fewer than ``SUPPORT`` distinct ones); those before instances that are not decided yet
+    weigh half, ``PRIOR`` is added to all.  An instance's score is that of its best
+    pattern (they overlap, so they don't add up), and 1 for seeds.  Copies of one text add no distinct instances.  Patterns
+    and instances with very many edges are looked up by broadcast, the others by a shuffle join.
     """
-    now = staged(edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score")), "pii-graph")
+    now = staged(edges.select("pattern", "instance", "seed", "times", F.col("seed").cast("double").alias("score")), "pii-graph")
     total = now.count()
 
     def scored(graph: DataFrame) -> DataFrame:
-        trusted = F.count_if(F.col("score") >= CONFIDENCE)
-        return graph.groupBy("pattern").agg(F.when(trusted >= SUPPORT, F.avg("score")).otherwise(0.0).alias("confidence"), F.count("*").alias("n"))
+        good = F.col("score") >= CONFIDENCE
+        summed = graph.groupBy("pattern").agg(F.count_if(good).alias("support"), F.sum(F.when(good, F.col("score") * F.col("times")).otherwise(0.0)).alias("held"), F.sum(F.when(good, 0).otherwise(F.col("times"))).alias("open"), F.count("*").alias("n"))
+        said = summed.join(totals.withColumnRenamed("n", "occurs"), "pattern", "left")
+        occurs = F.greatest(F.coalesce("occurs", F.lit(0)), F.col("held") + F.col("open"))
+        confidence = F.when(F.col("support") >= SUPPORT, F.col("held") / (occurs - 0.5 * F.col("open") + PRIOR)).otherwise(0.0)
+        return said.select("pattern", confidence.alias("confidence"), "n")
 
     for _ in range(ROUNDS - 1):
         told = lookup(now.drop("score"), "pattern", scored(now), "n", total).drop("n")
         told = staged(told, "pii-told")
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))
-        instances = told.groupBy("instance").agg((1 - doubt).alias("found"), F.count("*").alias("n"))
+        instances = told.groupBy("instance").agg(F.max("confidence").alias("found"), F.count("*").alias("n"))
         after = lookup(told.drop("confidence"), "instance", instances, "n", total)
-        now = staged(after.select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("score")), "pii-graph")
+        now = staged(after.select("pattern", "instance", "seed", "times", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("score")), "pii-graph")
     return scored(now).where(F.col("confidence") >= CONFIDENCE).select("pattern")
 
 
-def _learned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _learned(docs: DataFrame, rows: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Occurrences ``(row, start, kind, end, seed, instance, pattern)`` and trusted patterns."""
     seen = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
     linked = seen.select("row", "start", "kind", "end", "seed", "instance", F.explode("patterns").alias("pattern"))
-    edges = linked.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    return linked, staged(trusted_patterns(edges), "pii-trusted")
+    edges = staged(linked.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pii-edges")
+    # Patterns with fewer instances can't get the support in any round; the others are counted.
+    induced = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"), "pii-induced")
+    words = F.substring_index("pattern", "<", -1)
+    counted = occurrences(docs, induced.select(words.alias("words")).distinct(), text_col)
+    totals = induced.withColumn("words", words).join(counted, "words").select("pattern", "n")
+    return linked, staged(trusted_patterns(edges, staged(totals, "pii-totals")), "pii-trusted")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,10 +280,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``spans`` has all base spans and those that trusted patterns discover; discovered ones touch no
     base span.  Null texts count as empty; null ids and repeated rows each give a row; other columns
-    are not read; an empty table gives an empty result.  Texts are read once and don't move.
+    are not read; an empty table gives an empty result.  Texts are read twice (the second time to count
+    the patterns' words) and don't move.
     """
     rows = staged(entities(docs, id_col, text_col), "pii-rows")
-    linked, trusted = _learned(rows)
+    linked, trusted = _learned(docs, rows, text_col)
     spots = linked.where("not seed")
     totals = spots.groupBy("pattern").agg(F.count("*").alias("n")).join(trusted, "pattern", "left_semi").withColumn("ok", F.lit(True))
     met = lookup(spots, "pattern", staged(totals, "pii-spots"), "n", spots.count()).where("ok")
@@ -221,12 +325,12 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with each span of the text replaced by its kind in brackets
     (overlapping spans by that of the first).  Null texts stay null.
 
-    Two passes over the texts: one learns the trusted patterns, one masks by them where the rows
+    Three passes over the texts: two learn the trusted patterns, one masks by them where the rows
     lie.  If there are over ``SHIPPED`` patterns, so that they can't be broadcast, rows are written
     with a number and joined with their spans instead.
     """
     names = docs.columns
-    linked, trusted = _learned(staged(entities(docs.select(F.lit(0).alias("id"), text_col), "id", text_col), "pii-rows"))
+    linked, trusted = _learned(docs, staged(entities(docs.select(F.lit(0).alias("id"), text_col), "id", text_col), "pii-rows"), text_col)
     at = names.index(text_col)
     if trusted.count() <= SHIPPED:
         shipped = docs.sparkSession.sparkContext.broadcast({r[0] for r in trusted.collect()})

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from itertools import product
 
 import pytest
 from hypothesis import given, settings
@@ -31,7 +33,10 @@ def test_base_examples_and_long_texts():
     text = "ñ a.b@c.d_e@f.gh 152.143.123.131 999.1.1.1, 4785380592391139, 4785-3805 9239-1139, +1 (743) 555-3824 x 255.255.255.0.1"
     assert pii.base_spans(text) == plain(text) and len(plain(text)) == 7
     for long in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" + " " * 200_000, "@" * 100_000):
-        pii.base_spans(long)
+        pii.candidates(long, pii.base_spans(long))
+    many = "a@b.co 5550123 " * 20_000
+    base = pii.base_spans(many)
+    assert len(base) == 20_000 == len(pii.candidates(many, base)) and pii._mask(many, base).count("[email]") == 20_000
 
 
 def rows():
@@ -54,6 +59,76 @@ def test_bootstrap_finds_unseen(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def test_contexts():
+    text = "Tel.: please CALL me, at: 555-0199 or 12 numéro\n77 88 99 00 11 x5550123"
+    assert pii.contexts(text, text.index("555-"), 3, 0) == ["3<call me at", "3<me at", "3<at"]
+    assert pii.contexts(text, text.index("77"), 3, 0) == ["3<at or numéro", "3<or numéro", "3<numéro"]
+    assert pii.contexts("5550123", 0, 3, 7) == [] and pii.contexts("x5550123", 1, 3, 8) == []
+    assert pii.contexts("a" * 500 + " b 5550123", 503, 3, 9) == ["3<b"]
+
+
+def test_occurrences_same_as_plain(spark, monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "B", "c,", "ñ", "7", "-"]) for _ in range(rng.randrange(30))) for _ in range(40)] + [None, "", "a b c " * 5000]
+    phrases = sorted({" ".join(p) for n in (1, 2, 3) for p in product(["a", "b", "ñ"], repeat=n)})
+    plain = {p: 0 for p in phrases}
+    for t in texts:
+        w = [x.lower() for x in re.findall(r"[^\W\d_]+", t or "")]
+        for p in phrases:
+            k = p.split()
+            plain[p] += sum(w[i : i + len(k)] == k for i in range(len(w)))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    table = spark.createDataFrame([(p,) for p in phrases], "words string")
+    for block in (pii.BLOCK, 10):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        assert {r.words: r.n for r in pii.occurrences(docs, table).collect()} == {p: n for p, n in plain.items() if n}
+    assert pii.occurrences(docs, table.limit(0)).count() == 0
+
+
+def planted():
+    """Texts with identifiers in telling contexts, and decoys: (id, text, hidden spans by kind)."""
+    rng = random.Random(7)
+    filler = lambda n: " ".join(rng.choice("of the to and some time people place with was by for in a river hill".split()) for _ in range(n))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    out = []
+    for i in range(300):
+        head, tail = filler(20), filler(20)
+        kind = i % 6
+        if kind < 2:  # a phone in a telling context: most with a plus sign
+            plus = rng.random() < 0.8
+            who = f"+1 (743) 555-{number(4)}" if plus else f"0090 555 {number(3)} {number(4)}"
+            lead = rng.choice(["please call me at", "our phone number is"])
+            text, hidden = f"{head} {lead} {who}", [] if plus else [(3, who)]
+        elif kind == 2:  # order numbers: never personal data
+            text, hidden = f"{head} your order number is {number(10)}", []
+        elif kind == 3:  # seeds behind words that say nothing
+            text, hidden = f"{head} the +1 (743) 555-{number(4)}", []
+        elif kind == 4:  # a long number behind such a word
+            text, hidden = f"{head} the {number(16)}", []
+        else:
+            text, hidden = f"{head} write to", []
+            if rng.random() < 0.8:
+                text += f" p{number(3)}@mail.example.org"
+            else:
+                text, hidden = f"{text} q{number(3)} [at] mail.example.org", [(0, "")]
+        out.append((i, f"{text}. {tail}", hidden))
+    return out
+
+
+def test_planted_contexts_precision_and_recall(spark):
+    rows = planted()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    want, found = set(), set()
+    for i, t, hidden in rows:
+        base = [(s.start, s.kind, s.end) for s in got[i].base]
+        assert base == plain(t)
+        found |= {(i, k) for _, k, _ in {(s.start, s.kind, s.end) for s in got[i].spans} - set(base)}
+        want |= {(i, k) for k, _ in hidden}
+    right = len(want & found)
+    assert right >= 0.9 * len(want) and right >= 0.95 * len(found) and len(want) > 20
+
+
 @pytest.mark.parametrize("shipped", [100, -1])
 def test_masked_keeps_rows_and_columns(spark, monkeypatch, shipped):
     monkeypatch.setattr(pii, "SHIPPED", shipped)
