@@ -28,14 +28,14 @@ def stars(edges: DataFrame) -> DataFrame:
     """``(u, root)`` for each node that isn't the smallest of its component.
 
     ``edges`` has bigint columns ``u`` and ``v`` (either order, repeats and loops allowed).  Each
-    round is written to the shared folder; the number of rounds is logarithmic in the longest path.
+    round is written to the shared folder in place of the one before; the number of rounds is logarithmic in the longest path.
     """
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
     before = mark(now)
     while before[0]:
-        large = staged(_hooked(now, small=False), "stars")
-        now = staged(_hooked(large, small=True), "stars")
+        large = staged(_hooked(now, small=False), "stars", now)
+        now = staged(_hooked(large, small=True), "stars", large)
         after = mark(now)
         if after == before:
             break

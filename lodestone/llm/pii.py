@@ -254,10 +254,10 @@ def trusted_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
 
     for _ in range(ROUNDS - 1):
         told = lookup(now.drop("score"), "pattern", scored(now), "n", total).drop("n")
-        told = staged(told, "pii-told")
+        told = staged(told, "pii-told", now)
         instances = told.groupBy("instance").agg(F.max("confidence").alias("found"), F.count("*").alias("n"))
         after = lookup(told.drop("confidence"), "instance", instances, "n", total)
-        now = staged(after.select("pattern", "instance", "seed", "times", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("score")), "pii-graph")
+        now = staged(after.select("pattern", "instance", "seed", "times", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("score")), "pii-graph", told)
     return scored(now).where(F.col("confidence") >= CONFIDENCE).select("pattern")
 
 

@@ -37,12 +37,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it: what follows does not
-    depend on executors that computed it."""
+    depend on executors that computed it.  The staged table that it comes ``instead`` of, which
+    nothing may read any more, is deleted."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if instead is not None:
+        drop_path(df.sparkSession, instead.staged_at)
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
