@@ -210,6 +210,12 @@ def _coder(key: str, shipped) -> Coder:
     return _workers[key]
 
 
+def _forget() -> None:
+    """Let go of the chunks met, so that a worker doesn't hold them during other stages."""
+    for coder in _workers.values():
+        coder.clear()
+
+
 def _ship(df: DataFrame, model_path: str):
     """The pieces, whose number does not depend on the data, for all workers."""
     return df.sparkSession.sparkContext.broadcast(Pieces(model_path))
@@ -231,7 +237,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         return {id_col: batch.column(0), "n_pieces": pa.array(n), "pieces": pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found) if found else np.empty(0, np.int32))).cast(pa.list_(pa.field("element", pa.int32())))}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, n_pieces long, pieces array<int>", step)
+    return map_texts(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, n_pieces long, pieces array<int>", step, done=_forget)
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
@@ -268,4 +274,4 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         return out | {id_col: batch.column(0)}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, n_pieces long, score double, pieces_sha256 string, decoded_sha256 string, exact boolean", step)
+    return map_texts(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, n_pieces long, score double, pieces_sha256 string, decoded_sha256 string, exact boolean", step, done=_forget)

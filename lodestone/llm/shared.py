@@ -75,18 +75,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, column: str, schema: str, step: Callable[[pa.RecordBatch], dict | None], limit: int = BATCH_BYTES) -> DataFrame:
-    """Apply ``step`` to pieces of ``df``; it returns columns by name (lists or arrays)."""
+def map_texts(df: DataFrame, column: str, schema: str, step: Callable[[pa.RecordBatch], dict | None], limit: int = BATCH_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``step`` to pieces of ``df``; it returns columns by name (lists or arrays).  ``done`` is
+    called at the end of each task, to free what the worker would hold on to."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = _arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column, limit):
-            found = step(piece)
-            if found is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c := found[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow
-                )
+        try:
+            for piece in slices(batches, column, limit):
+                found = step(piece)
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c := found[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow
+                    )
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, fields)
 

@@ -23,8 +23,11 @@ from .shared import lookup, map_texts, staged
 #: Words in a shingle, and the Jaccard similarity of a pair.
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of the index and minima in each: a pair at similarity 0.8 shares no band with a probability
-#: of (1 - 0.8 ** 6) ** 64 = 4e-9, more similar ones with less.
-BANDS, MINIMA = 64, 6
+#: of (1 - 0.8 ** 5) ** 36 = 6e-7, more similar ones with less.
+BANDS, MINIMA = 36, 5
+#: Marks of texts in candidate pairs that are broadcast at most (of 16 bytes each), so that only their
+#: sets of shingles move; if there are more, all sets are shuffled.
+BROADCAST_ROWS = 500_000
 SEED = 42
 
 _WORD = re.compile(r"[^\W_]+")
@@ -67,11 +70,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         marks = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
         return {
             "id": batch.column(0), "mark": pa.array(marks.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int32()),
-            "shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "slots": pa.array([slots(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+            "shingles": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64))).cast(pa.list_(pa.field("element", pa.int64()))), "slots": pa.array([slots(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
         }
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(F.col(id_col).alias("id"), text_col), text_col, f"id {kind}, mark long, n int, shingles binary, slots binary", step)
+    return map_texts(docs.select(F.col(id_col).alias("id"), text_col), text_col, f"id {kind}, mark long, n int, shingles array<bigint>, slots binary", step)
 
 
 def _index(rows: DataFrame) -> DataFrame:
@@ -93,22 +96,14 @@ def _alike(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
     """``(u, v)``: the pairs ``(u, v)`` whose sets of shingles are similar enough."""
     pairs = staged(pairs.distinct(), "similar-pairs")
     total = 2 * pairs.count()
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("mark")).groupBy("mark").agg(F.count("*").alias("times"))
-    sets = rows.select("mark", "shingles").join(ends, "mark").groupBy("mark").agg(F.first("shingles").alias("shingles"), F.first("times").alias("times"))
+    ends = staged(pairs.select(F.explode(F.array("u", "v")).alias("mark")).groupBy("mark").agg(F.count("*").alias("times")), "similar-ends")
+    few = ends.count() <= BROADCAST_ROWS
+    sets = rows.select("mark", "shingles").join(F.broadcast(ends) if few else ends, "mark").groupBy("mark").agg(F.first("shingles").alias("shingles"), F.first("times").alias("times"))
     sets = staged(sets, "similar-sets")
     for end in ("u", "v"):
         pairs = lookup(pairs, end, sets.select(F.col("mark").alias(end), F.col("shingles").alias(f"of_{end}"), F.col("times").alias(f"times_{end}")), f"times_{end}", total)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common / (len(a) + len(b) - common) >= similar)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    return pairs.where(common >= (F.size("of_u") + F.size("of_v") - common) * F.lit(similar)).select("u", "v")
 
 
 def _fits(a: str, b: str, similar: float):
