@@ -124,11 +124,17 @@ def words(c: Column) -> Column:
 
 def detect_lang(c: Column) -> Column:
     low = tr_lower(c)
-    first = F.slice(words(low), 1, LANG_WORDS)
-    hits = lambda known: F.size(F.filter(first, lambda w: w.isin(*known)))
-    letters = F.length(F.regexp_replace(low, f"[^{TR_LETTERS}]", ""))
-    tr, en = hits(TR_STOPWORDS) + letters * TR_LETTER_WEIGHT, hits(EN_STOPWORDS)
-    return F.when((F.size(first) < 3) | ((tr < 1) & (en < 1)), "und").when(tr >= en, "tr").otherwise("en")
+    letters = F.length(low) - F.length(F.translate(low, TR_LETTERS, ""))
+
+    def counted(first: Column) -> Column:
+        hits = lambda known: F.size(F.filter(first, lambda w: w.isin(*known)))
+        return F.struct(F.size(first).alias("n"), hits(TR_STOPWORDS).alias("tr"), hits(EN_STOPWORDS).alias("en"), letters.alias("letters"))
+
+    def vote(v: Column) -> Column:
+        tr, en = v["tr"] + v["letters"] * TR_LETTER_WEIGHT, v["en"]
+        return F.when((v["n"] < 3) | ((tr < 1) & (en < 1)), "und").when(tr >= en, "tr").otherwise("en")
+
+    return let(let(F.slice(words(low), 1, LANG_WORDS), counted), vote)
 
 
 def truncate_chars(c: Column, n: int) -> Column:
@@ -140,7 +146,7 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold(tr_lower(c)), BETWEEN), lambda t: (F.octet_length(t) >= 2) & (F.length(t) <= 40))
 
 
-def _changes(a: Column) -> Column:
+def without_repeats(a: Column) -> Column:
     """An array without elements equal to the one before."""
     return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
 
@@ -148,7 +154,7 @@ def _changes(a: Column) -> Column:
 def query_terms(c: Column) -> Column:
     """Tokens, before each long one its stem: it without its last two letters."""
     stems = F.transform(tokens(c), lambda t: F.when(F.length(t) >= 7, F.array(F.substring(t, F.lit(1), F.length(t) - 2), t)).otherwise(F.array(t)))
-    return _changes(F.flatten(stems))
+    return without_repeats(F.flatten(stems))
 
 
 def highlight_terms(c: Column) -> Column:
@@ -200,6 +206,11 @@ def entities(c: Column) -> Column:
     return F.concat(made("date", DATE), made("time", TIME), made("percentage", PERCENT, number), made("number", NUMBER_UNIT, number, unit), made("email", EMAIL), made("url", URL), made("code", CODE))
 
 
+def analyze(c: Column) -> Column:
+    """Question type, entities and search terms of a question."""
+    return F.struct(question_type(c).alias("question_type"), entities(c).alias("entities"), query_terms(c).alias("terms"))
+
+
 def normalize_query(c: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.trim(F.regexp_replace(tr_lower(c), r"\s+", " ")), r"[?.!]+$", ""))
 

@@ -101,6 +101,32 @@ def probe(queries: DataFrame, cache: DataFrame, now: Column, ttl: int = CACHE_TT
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("hit", F.lit("miss")).alias("hit"), "cached_key")
 
 
+def put(cache: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """``cache`` with the ``answers`` (its columns but ``created_at`` and ``hits``, and ``kind``) that
+    are worth keeping: refused and blocked ones are not.  An entry of the same key is replaced; its
+    hits stay."""
+    fresh = answers.where(F.col("kind").isin("grounded", "extractive")).drop("kind").withColumns({"created_at": now, "hits": F.lit(0).cast("long")})
+    both = cache.withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
+    last = F.max_by(F.struct(*[c for c in both.columns if c not in ("key", "hits", "__new")]), "__new").alias("e")
+    return both.groupBy("key").agg(last, F.max("hits").alias("hits")).select("key", "e.*", "hits").select(*cache.columns)
+
+
+def invalidate(cache: DataFrame) -> DataFrame:
+    """The cache after documents came or went: empty."""
+    return cache.limit(0)
+
+
+def counted(cache: DataFrame, probes: DataFrame) -> DataFrame:
+    """``cache`` with the hits of ``probe`` added to its entries."""
+    met = probes.where(F.col("cached_key").isNotNull()).groupBy(F.col("cached_key").alias("key")).agg(F.count("*").alias("__more"))
+    return cache.join(met, "key", "left").withColumn("hits", F.col("hits") + F.coalesce("__more", F.lit(0))).select(*cache.columns)
+
+
+def hit_counts(probes: DataFrame) -> DataFrame:
+    """``(exact, semantic, miss)``: how many probes ended how."""
+    return probes.agg(*[F.count_if(F.col("hit") == k).alias(k) for k in ("exact", "semantic", "miss")])
+
+
 def evict(cache: DataFrame, size: int = CACHE_SIZE) -> DataFrame:
     """The ``size`` entries inserted last (first in, first out)."""
     return cache.orderBy(F.desc("created_at"), "key").limit(size)

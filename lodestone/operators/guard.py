@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -88,12 +89,16 @@ def _valid(kind: str, found: str) -> bool:
 
 def pii_of(value: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, mask)`` in order; where kinds overlap, the first in precedence stays."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order, and none overlaps another
     for kind, pattern, mask in _PATTERNS:
+        fresh = []
         for m in pattern.finditer(value):
-            if _valid(kind, m[0]) and not any(m.start() < b and a < m.end() for a, b, _, _ in found):
-                found.append((m.start(), m.end(), kind, mask))
-    return sorted(found)
+            k = bisect_left(found, (m.end(),))
+            if not (k and found[k - 1][1] > m.start()) and _valid(kind, m[0]):
+                fresh.append((m.start(), m.end(), kind, mask))
+        if fresh:
+            found = sorted([*found, *fresh])
+    return found
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")))
@@ -136,9 +141,12 @@ def grounded_sentences(sentences: DataFrame, context: DataFrame) -> DataFrame:
     s = sentences.withColumn("clean", F.trim(F.regexp_replace("sentence", MARKER, ""))).where(F.length("clean") >= MIN_SENTENCE)
     cited = F.transform(F.regexp_extract_all("sentence", F.lit(MARKER), F.lit(1)), lambda m: m.cast("int"))
     s = s.join(n, "query_id", "left").withColumn("markers", F.array_sort(F.array_distinct(F.filter(cited, lambda m: (m >= 1) & (m <= F.coalesce("n_chunks", F.lit(0)))))))
-    c = context.select(F.col("query_id").alias("__q"), F.col("rank").alias("__rank"), F.col("text").alias("__text"))
+    # Windows of characters are made once a sentence and once a chunk, not once a pair.
+    s = s.withColumn("__own", text.char_ngrams(F.col("clean"), GRAM))
+    c = context.select(F.col("query_id").alias("__q"), F.col("rank").alias("__rank"), text.char_ngrams(F.col("text"), GRAM).alias("__grams"))
     both = s.join(c, (F.col("query_id") == F.col("__q")) & ((F.size("markers") == 0) | F.array_contains("markers", F.col("__rank"))), "left")
-    score = F.coalesce(text.containment(F.col("clean"), F.col("__text"), GRAM), F.lit(0.0)) * F.when(F.size("markers") == 0, UNMARKED).otherwise(1.0)
+    share = F.when(F.size("__own") > 0, F.size(F.array_intersect("__own", "__grams")) / F.size("__own"))
+    score = F.coalesce(share, F.lit(0.0)) * F.when(F.size("markers") == 0, UNMARKED).otherwise(1.0)
     out = both.groupBy("query_id", "position", "sentence", "markers").agg(F.max(score).alias("score"))
     return out.withColumn("supported", F.col("score") >= SUPPORTED)
 

@@ -323,23 +323,25 @@ def ocr_line_groups(spark, d):
 # ---- Retrieval ------------------------------------------------------------------------------
 
 
-def _all_queries(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return b.join(v, "query_id").withColumn("clearance", F.lit(CLEARANCE))
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding"))
+    return v, max(v.count(), 1)
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """Those that the registered SQL asks."""
-    return _all_queries(spark, d).where("query_id < 8")
+    v, n = _vectors(spark, d)
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % n).alias("vec"))
+    return b.join(v.withColumnRenamed("embedding", "vector"), "vec").drop("vec").withColumn("clearance", F.lit(CLEARANCE))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return documents(spark, d).select(F.col("doc_id").alias("id"), "text", "classification").join(v, "id")
+    """Every document, with the vector whose number is its own modulo how many there are."""
+    v, n = _vectors(spark, d)
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "classification", (F.col("doc_id") % n).alias("vec"))
+    return rows.join(v, "vec").drop("vec")
 
 
-_SQL_CHUNKS = "chunks AS (SELECT doc_id AS id, text, classification, embedding FROM " + DOCS + " d JOIN embeddings ON vec_id = doc_id), asked AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < 8)"
+_SQL_CHUNKS = "nv AS (SELECT count(*) AS n FROM embeddings), chunks AS (SELECT doc_id AS id, text, classification, embedding FROM " + DOCS + " d CROSS JOIN nv JOIN embeddings ON vec_id = doc_id % n), asked AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark CROSS JOIN nv JOIN embeddings ON vec_id = item_id % n)"
 _SQL_BM25 = f"""tok AS (SELECT id, classification, {sql_tokens('text')} AS t FROM chunks), lens AS (SELECT id, len(t) AS n FROM tok), stats AS (SELECT count(*) AS n_chunks, greatest(avg(n), 1) AS avg_n FROM lens),
     post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
     qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({sql_terms('query')}) AS term FROM asked) GROUP BY ALL),
@@ -355,7 +357,7 @@ _SQL_FUSE = f"""fu0 AS (SELECT query_id, id, sum(1 / ({retrieval.RRF_K} + rank))
 @query(f"WITH {_SQL_CHUNKS}, {_SQL_BM25} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM sp WHERE rank <= 10")
 def bm25_search(spark, d):
     c, q = _chunks(spark, d), _queries(spark, d)
-    hits = retrieval.bm25(retrieval.postings(c), retrieval.corpus_stats(c), q, 10, c.select("id", "classification"))
+    hits = retrieval.bm25(retrieval.postings(c, only=retrieval.query_postings(q)), retrieval.corpus_stats(c), q, 10, c.select("id", "classification"))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -369,7 +371,7 @@ def dense_search(spark, d):
 def rank_fusion(spark, d):
     c, q = _chunks(spark, d), _queries(spark, d)
     a = retrieval.dense(c.drop("text"), q, 100)
-    b = retrieval.bm25(retrieval.postings(c), retrieval.corpus_stats(c), q, 100, c.select("id", "classification"))
+    b = retrieval.bm25(retrieval.postings(c, only=retrieval.query_postings(q)), retrieval.corpus_stats(c), q, 100, c.select("id", "classification"))
     return retrieval.fuse(a, b, k=20).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -378,13 +380,13 @@ def rank_fusion(spark, d):
         FROM fu LEFT JOIN de ON de.query_id = fu.query_id AND de.id = fu.id LEFT JOIN sp ON sp.query_id = fu.query_id AND sp.id = fu.id LEFT JOIN best ON best.query_id = fu.query_id)
     SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sc WHERE score >= 0 QUALIFY rank <= 10""")
 def hybrid_search(spark, d):
-    hits = retrieval.hybrid(_chunks(spark, d), _queries(spark, d))
+    hits = retrieval.hybrid(_chunks(spark, d), _queries(spark, d), diversify=False, expand=False)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def diverse_search(spark, d):
-    c, q = _chunks(spark, d), _all_queries(spark, d)
+    c, q = _chunks(spark, d), _queries(spark, d)
     found = retrieval.dense(c.drop("text"), q, 50).join(c.select("id", "embedding"), "id")
     return retrieval.mmr(found, q, 10)
 
@@ -478,9 +480,11 @@ def extractive_answers(spark, d):
 _SQL_CONTEXT = "context AS (SELECT conv_id AS query_id, turn::INT + 1 AS rank, text FROM conversations WHERE role = 'user')"
 
 
-@query(f"""WITH {_SQL_SPOKEN}, {_SQL_CONTEXT}, p AS (SELECT s.query_id, s.rank * 1000 + position AS position, {sql_grams("trim(sentence)", 4)} AS a, {sql_grams("c.text", 4)} AS b
-        FROM spoken s LEFT JOIN context c ON c.query_id = s.query_id WHERE length(trim(sentence)) >= 12),
-    t AS (SELECT query_id, position, max(CASE WHEN b IS NULL OR len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END) * 0.85::DOUBLE AS score FROM p GROUP BY ALL)
+@query(f"""WITH {_SQL_SPOKEN}, {_SQL_CONTEXT},
+    s AS (SELECT query_id, rank * 1000 + position AS position, {sql_grams("trim(sentence)", 4)} AS a FROM spoken WHERE length(trim(sentence)) >= 12),
+    g AS (SELECT query_id, position, unnest(a) AS g FROM s), c AS (SELECT query_id, rank, unnest({sql_grams("text", 4)}) AS g FROM context),
+    m AS (SELECT query_id, position, c.rank, count(*) AS n FROM g JOIN c USING (query_id, g) GROUP BY ALL), best AS (SELECT query_id, position, max(n) AS n FROM m GROUP BY ALL),
+    t AS (SELECT s.query_id, s.position, CASE WHEN len(a) = 0 THEN 0 ELSE coalesce(n, 0) / len(a)::DOUBLE END * 0.85::DOUBLE AS score FROM s LEFT JOIN best b ON b.query_id = s.query_id AND b.position = s.position)
     SELECT query_id, count(*) AS counted, count(*) FILTER (score >= 0.3::DOUBLE) AS supported, count(*) FILTER (score >= 0.3::DOUBLE) / count(*) >= 0.3::DOUBLE AS grounded FROM t GROUP BY query_id""")
 def groundedness(spark, d):
     s = _spoken(spark, d).select("query_id", (F.col("rank") * 1000 + F.col("position")).alias("position"), "sentence")
@@ -488,15 +492,15 @@ def groundedness(spark, d):
     return guard.groundedness(s, c).where("counted > 0").select("query_id", "counted", "supported", "grounded")
 
 
-@query("""WITH a AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id < 20), c AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id >= 10),
-    m AS (SELECT a.vec_id, c.vec_id AS k, list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM a JOIN c ON a.label % 3 = c.label % 3 AND c.label <= a.label WHERE a.vec_id < 10)
-    SELECT a.vec_id AS query_id, CASE WHEN a.vec_id >= 10 THEN 'exact' WHEN b.k IS NOT NULL THEN 'semantic' ELSE 'miss' END AS hit
+@query("""WITH a AS (SELECT vec_id, embedding, label FROM embeddings), c AS (SELECT vec_id, embedding, label FROM embeddings WHERE label % 2 = 0),
+    m AS (SELECT a.vec_id, c.vec_id AS k, list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM a JOIN c ON a.label % 3 = c.label % 3 AND c.label <= a.label WHERE a.label % 2 = 1)
+    SELECT a.vec_id AS query_id, CASE WHEN a.label % 2 = 0 THEN 'exact' WHEN b.k IS NOT NULL THEN 'semantic' ELSE 'miss' END AS hit
     FROM a LEFT JOIN (SELECT vec_id, min(k) AS k FROM m WHERE s >= 0.3::DOUBLE GROUP BY 1) b ON a.vec_id = b.vec_id""")
 def cache_probe(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").cast("string").alias("key"), (F.col("label") % 3).cast("string").alias("scope"), F.col("label").alias("clearance"), F.col("embedding").alias("vector"))
     now = F.lit("2024-01-01 00:30:00").cast("timestamp")
-    cache = e.where("query_id >= 10").drop("query_id").withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return answer.probe(e.where("query_id < 20"), cache, now, near=0.3).select("query_id", "hit")
+    cache = e.where("clearance % 2 = 0").drop("query_id").withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return answer.probe(e, cache, now, near=0.3).select("query_id", "hit")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -558,4 +562,4 @@ def latency_histogram(spark, d):
 
 @query()
 def ask_batch(spark, d):
-    return ask(_all_queries(spark, d), _chunks(spark, d), retrieval.Limits())
+    return ask(_queries(spark, d), _chunks(spark, d), retrieval.Limits())

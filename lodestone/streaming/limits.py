@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -87,3 +88,74 @@ def histogram(events: DataFrame, value: str, by: str) -> DataFrame:
     edges = F.array(*map(F.lit, BUCKETS))
     rows = events.select(by, F.col(value).alias("v"), F.explode(edges).alias("le"))
     return rows.groupBy(by, "le").agg(F.count_if(F.col("v") <= F.col("le")).alias("n"))
+
+
+def cache_stream(requests: DataFrame, ttl: float = 3600, size: int = 512) -> DataFrame:
+    """``(id, hit, value)`` for a stream of lookups and puts (``id, shard, key, value, ts``; a value
+    puts it, null asks).  The state of a shard is its live entries in order of insertion: those past
+    ``ttl`` seconds go, and beyond ``size`` the one inserted first."""
+    kinds = f"id {requests.schema['id'].dataType.simpleString()}, hit boolean, value string"
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, values, times = state.get if state.exists else ([], [], [])
+        held = {a: (b, t) for a, b, t in zip(keys, values, times, strict=True)}
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["__t", "id"]).itertuples():
+            t = r[4]
+            for key in [x for x, (_, at) in held.items() if t - at >= ttl]:
+                del held[key]
+            if r[3] is None or r[3] != r[3]:
+                out.append((r[1], r[2] in held, held.get(r[2], (None,))[0]))
+                continue
+            held.pop(r[2], None)
+            while len(held) >= size:
+                del held[next(iter(held))]
+            held[r[2]] = (r[3], t)
+            out.append((r[1], False, r[3]))
+        state.update((list(held), [v for v, _ in held.values()], [t for _, t in held.values()]))
+        yield pd.DataFrame(out, columns=["id", "hit", "value"])
+
+    rows = requests.select("id", "key", "value", (micros("ts") / 1e6).alias("__t"), "shard")
+    return rows.groupBy("shard").applyInPandasWithState(step, kinds, "keys array<string>, vals array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def audit_stream(events: DataFrame) -> DataFrame:
+    """``(seq, actor, prev_hash, hash)``: a stream of audit events chained by actor, in order of
+    ``seq`` within a batch; the state of an actor is its last hash."""
+    from ..operators.audit import GENESIS, payload
+
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in ("seq", "actor")) + ", prev_hash string, hash string"
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (last,) = state.get if state.exists else (GENESIS,)
+        rows = pd.concat(list(parts)).sort_values("seq")
+        prev, own = [], []
+        for value in rows["__payload"]:
+            prev.append(last)
+            last = hashlib.sha256(f"{last}|{value}".encode()).hexdigest()
+            own.append(last)
+        state.update((last,))
+        yield pd.DataFrame({"seq": rows["seq"], "actor": k[0], "prev_hash": prev, "hash": own})
+
+    rows = events.select("seq", "actor", payload().alias("__payload"))
+    return rows.groupBy("actor").applyInPandasWithState(step, kinds, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def index_stream(chunks: DataFrame, path: str, checkpoint: str, heading_col: str | None = None):
+    """Start a query that adds each batch of new chunks to the index at ``path``, once: a batch that
+    is run again overwrites its own folders."""
+    from ..operators import retrieval
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        retrieval.postings(rows, heading_col=heading_col).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        retrieval.corpus_lengths(rows, heading_col).write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
+        rows.unpersist()
+
+    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watched(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that holds ``metrics`` (columns by name) once it has been written."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
