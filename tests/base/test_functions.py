@@ -76,9 +76,9 @@ def test_headings(spark, line, level):
 
 
 def test_chunks():
-    parts = [(1, "1 Giriş"), (None, "Kısa paragraf burada durur ve yeter."), (2, "1.1 Alt"), (None, "Uzun bir cümle yazılır. " * 120)]
+    parts = [ingest.Part("1 Giriş", 1), ingest.Part("Kısa paragraf burada durur ve yeter."), ingest.Part("1.1 Alt", 2), ingest.Part("Uzun bir cümle yazılır. " * 120)]
     out = ingest.chunks_of(parts)
-    assert out[-1][0] == "1 Giriş > 1.1 Alt" and len(out) > 2 and all(ingest._size(t) <= 380 + 70 for _, t in out)
+    assert out[-1][0] == "1 Giriş > 1.1 Alt" and len(out) > 2 and all(ingest._size(t) <= 380 + 70 for _, t, *_ in out)
 
 
 def test_images():
