@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import answer, audit, guard, hooks, retrieval
+from ..sources.tables import settled
 from . import prompts
 
 _COLUMNS = ("query_id", "kind", "answer", "markers", "support_ratio", "classification", "lang", "cached", "warnings", "trace")
@@ -39,8 +40,8 @@ def _answered(asked: DataFrame, chunks: DataFrame, limits: retrieval.Limits, out
     for name, default in _DETAILS.items():
         if name not in texts.columns:
             texts = texts.withColumn(name, F.lit(default).cast("string") if default or name == "heading_path" else F.lit(1))
-    found = hits.join(texts.select("id", "text", "classification", *_DETAILS), "id").persist()
-    context = answer.context_blocks(found, budget).select("query_id", "rank", "id", "text", "classification", "score", "block")
+    found = settled(hits.join(texts.select("id", "text", "classification", *_DETAILS), "id"))
+    context = settled(answer.context_blocks(found, budget).select("query_id", "rank", "id", "text", "classification", "score", "block"))
     sentences = context.select("query_id", "rank", F.posexplode(text.sentences("text")).alias("position", "sentence"))
     answers = answer.extractive(asked, sentences).withColumn("kind", F.lit("extractive"))
     if generate is not None:
@@ -52,7 +53,7 @@ def _answered(asked: DataFrame, chunks: DataFrame, limits: retrieval.Limits, out
         both = answers.join(said, "query_id", "left")
         answers = both.select("query_id", F.when(only, F.col("answer")).otherwise(F.col("said")).alias("answer"), F.when(only, F.col("markers")).otherwise(cited).alias("markers"), F.when(only, F.col("kind")).otherwise("grounded").alias("kind"))
     counts = context.groupBy("query_id").agg(F.count("*").alias("sources"))
-    answers = answers.join(counts, "query_id", "left").join(asked.select("query_id", "lang"), "query_id").persist()
+    answers = settled(answers.join(counts, "query_id", "left").join(asked.select("query_id", "lang"), "query_id"))
     trace = _trace(("retrieve", F.coalesce("sources", F.lit(0))), ("generate", F.col("kind")))
     none = F.array().cast("array<string>")
     if not output_guard:
@@ -60,7 +61,7 @@ def _answered(asked: DataFrame, chunks: DataFrame, limits: retrieval.Limits, out
     said = answers.where((F.size("markers") > 0) | (F.col("kind") == "grounded")).select("query_id", F.posexplode(text.sentences("answer")).alias("position", "sentence"))
     checks = guard.groundedness(said, context).select("query_id", "grounded", "support_ratio", "reason")
     stamped = guard.stamp(guard.citations(answers.select("query_id", "markers"), context))
-    joined = answers.join(checks, "query_id", "left").join(stamped, "query_id", "left").withColumn("masked", guard.redact("answer"))
+    joined = settled(answers.join(checks, "query_id", "left").join(stamped, "query_id", "left").withColumn("masked", guard.redact("answer")))
     ok = F.coalesce("grounded", F.lit(False))
     other = text.detect_lang(F.col("masked.text"))
     warnings = F.array(F.when(~ok, F.coalesce("reason", F.lit("no sources"))), F.when(ok & (F.size("masked.kinds") > 0), "personal data masked"), F.when(ok & (F.col("lang") != "und") & (other != "und") & (other != F.col("lang")), "answer in another language"))
@@ -90,26 +91,28 @@ def ask(queries: DataFrame, chunks: DataFrame, limits: retrieval.Limits = retrie
     where it says nothing, sentences are extracted.  With ``rewrite``, refused queries are asked in
     other words, ``max_steps`` times in all.
     """
-    # A batch of queries is small beside the chunks: what is known of it is kept between the parts of
-    # the plan, which would work it out again each (and be planned anew each).
-    checked = guard.check_queries(queries).persist()
+    # A batch of queries is small beside the chunks: what is known of it is settled between the parts
+    # of the plan, each of which would otherwise plan and work it out again.
+    checked = settled(guard.check_queries(queries))
     open_ = checked.where("verdict.allowed").withColumn("lang", F.col("verdict.lang"))
     none = F.array().cast("array<string>")
     told = checked.where("not verdict.allowed").select(*_row(F.lit("blocked"), F.array_join("verdict.reasons", ", "), _no_markers(), F.lit(0.0), F.lit(0), F.col("verdict.lang"), F.lit(False), F.col("verdict.reasons"), _trace(("guard", F.lit("blocked")))))
     if cache is not None:
-        probes = answer.probe(keyed(open_, model), cache, now if now is not None else F.current_timestamp()).where("hit <> 'miss'").persist()
+        probes = answer.probe(keyed(open_, model), cache, now if now is not None else F.current_timestamp()).where("hit <> 'miss'")
+        probes = settled(probes)
         met = probes.join(cache.select(F.col("key").alias("cached_key"), "answer", "markers", "classification"), "cached_key").join(open_.select("query_id", "lang"), "query_id")
         told = told.unionByName(met.select(*_row(F.lit("grounded"), F.col("answer"), F.col("markers"), F.lit(1.0), F.col("classification"), F.col("lang"), F.lit(True), none, _trace(("cache", F.col("hit"))))))
-        open_ = open_.join(probes.select("query_id"), "query_id", "left_anti").persist()
+        open_ = open_.join(probes.select("query_id"), "query_id", "left_anti")
+        open_ = settled(open_)
     found = _answered(open_, chunks, limits, output_guard, budget, generate, 1)
     for step in range(2, max_steps + 1):
         if rewrite is None:
             break
-        found = found.persist()
+        found = settled(found)
         again = found.where("kind = 'refused'").select("query_id", F.col("trace").alias("before"))
         words = hooks.generated(open_.join(again.select("query_id"), "query_id", "left_semi").select("query_id", F.col("query").alias("prompt")), rewrite).where("answer is not null")
         asked = open_.join(words.select("query_id", F.col("answer").alias("__query")), "query_id").withColumn("query", F.col("__query")).drop("__query")
-        more = _answered(asked, chunks, limits, output_guard, budget, generate, step).join(again, "query_id").withColumn("trace", F.concat("before", _trace(("rewrite", F.lit(step))), F.col("trace"))).select(*_COLUMNS)
+        more = _answered(settled(asked), chunks, limits, output_guard, budget, generate, step).join(again, "query_id").withColumn("trace", F.concat("before", _trace(("rewrite", F.lit(step))), F.col("trace"))).select(*_COLUMNS)
         found = found.join(more.select("query_id"), "query_id", "left_anti").select(*_COLUMNS).unionByName(more)
     return told.unionByName(found)
 

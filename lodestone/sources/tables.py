@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and kept in the shared folder: plans that go on from it are short, and
+    don't need the executors that computed it.  For small results only (of a batch of queries).
+
+    The folder is ``spark.checkpoint.dir``; only a local session without it gets its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        own = context.getConf().get("spark.checkpoint.dir", None)
+        if own is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``(path, name, length, content)`` of the files of a folder."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
