@@ -20,7 +20,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import similar as alike
 from .components import stars
 from .shared import map_texts, lookup, partitions, staged
 
@@ -93,7 +92,7 @@ def bit_order(products: np.ndarray) -> list[int]:
     return order
 
 
-def allocate(n: int, agree: list[float], order: list[int], radius: int) -> list[Block]:
+def allocate(n: int, agree: list[float], order: list[int], radius: int, pair_cost: float = PAIR_COST) -> list[Block]:
     """Blocks of least estimated cost whose thresholds plus one add up to ``radius`` plus one.
 
     ``agree``: for each bit, the share of pairs of fingerprints that agree in it.  A threshold of -1
@@ -114,14 +113,14 @@ def allocate(n: int, agree: list[float], order: list[int], radius: int) -> list[
                     if t >= end - at:
                         break
                     probes = sum(comb(end - at, d) for d in range(t + 1))
-                    new = cost + (n * (1 + probes) * PROBE_COST + n * n / 2 * sum(spread[: t + 1]) * PAIR_COST if t >= 0 else 0)
+                    new = cost + (n * (1 + probes) * PROBE_COST + n * n / 2 * sum(spread[: t + 1]) * pair_cost if t >= 0 else 0)
                     key = (end, have + t + 1)
                     if key not in best or new < best[key][0]:
                         best[key] = (new, (*blocks, Block(tuple(order[at:end]), t)))
     return [b for b in best[64, goal][1] if b.threshold >= 0]
 
 
-def plan(classes: DataFrame, radius: int) -> tuple[int, list[Block]]:
+def plan(classes: DataFrame, radius: int, pair_cost: float = PAIR_COST) -> tuple[int, list[Block]]:
     """Number of fingerprints, and blocks for them.  The driver sees 64 by 64 sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +143,7 @@ def plan(classes: DataFrame, radius: int) -> tuple[int, list[Block]]:
         return 0, []
     share = np.diag(joint) / n
     order = bit_order(joint / n - np.outer(share, share))
-    return n, allocate(n, (share**2 + (1 - share) ** 2).tolist(), order, radius)
+    return n, allocate(n, (share**2 + (1 - share) ** 2).tolist(), order, radius, pair_cost)
 
 
 def _slots(fps: DataFrame, blocks: list[Block]) -> DataFrame:
@@ -276,10 +275,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     search, so a group of copies costs one fingerprint.
 
     With ``similar`` (and shingles of five words) pairs of at least that Jaccard similarity link, and
-    there is no ``fingerprint``.  At 0.8, 9.7 of 64 bits differ on average and over 20 may: there no
-    choice of blocks and thresholds is selective, so candidates come from ``similar.groups``.
+    there is no ``fingerprint``.  At 0.8, 9.7 of 64 bits differ on average and over 20 may, so there
+    the blocks are of several fingerprints and links are verified by their shingles (``similar.py``).
     """
     if similar is not None:
+        from . import similar as alike  # which uses this module's index
+
         if shingle != alike.SHINGLE:
             raise ValueError(f"similarity is of shingles of {alike.SHINGLE} words")
         return alike.groups(docs, id_col, text_col, similar)
