@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, langid, pii, sentencepiece, simhash
-from lodestone.llm.shared import slices, staged
+from lodestone.llm.shared import released, slices, staged
 
 #: A document stays if its language holds at least this share of its letters.
 LANGUAGE_SHARE = 0.5
@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             found = langid.label([t or "" for t in batch.column(at).to_pylist()], shipped.value)
             yield batch.filter(pa.array([k != langid.UNKNOWN and share >= LANGUAGE_SHARE for k, share, _ in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

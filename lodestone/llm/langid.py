@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, slices
+from .shared import map_texts, released, slices
 
 #: First and last code points of the letters of each script.
 SCRIPTS = [
@@ -223,7 +223,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "feature", "n"])
 
-    counted = docs.where(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, feature int, n long")
+    counted = docs.where(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(released(run), "lang string, feature int, n long")
     rows = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hmm import tokens
-from .shared import lookup, map_texts, slices, staged
+from .shared import lookup, map_texts, released, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct trusted instances and confidence that a pattern needs.
@@ -356,4 +356,4 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(released(run), docs.schema)

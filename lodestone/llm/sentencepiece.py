@@ -25,7 +25,7 @@ SPACE = "▁"
 #: Stands for that very sign in a text, so that decoding gives it back: no text holds a surrogate.
 _LITERAL = "\ud800"
 #: Distinct chunks of text whose pieces a Python worker remembers before it starts afresh.
-REMEMBERED = 900_000
+REMEMBERED = 200_000
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6

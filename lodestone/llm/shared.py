@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +76,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Give memory that is free, but held by allocators, back to the system: Python workers live on
+    through all stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with free memory given back at the end of each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def map_texts(df: DataFrame, column: str, schema: str, step: Callable[[pa.RecordBatch], dict | None], limit: int = BATCH_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
     """Apply ``step`` to pieces of ``df``; it returns columns by name (lists or arrays).  ``done`` is
     called at the end of each task, to free what the worker would hold on to."""
@@ -93,7 +114,7 @@ def map_texts(df: DataFrame, column: str, schema: str, step: Callable[[pa.Record
             if done is not None:
                 done()
 
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(released(run), fields)
 
 
 def _arrow_schema(fields) -> pa.Schema:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import stars
-from .shared import lookup, map_texts, partitions, staged
+from .shared import lookup, map_texts, partitions, released, staged
 from .simhash import TILE, Block, allocate, plan
 
 #: Words in a shingle, and the Jaccard similarity of a pair.
@@ -164,7 +164,7 @@ def _index(classes: DataFrame, blocks: list[list[Block]]) -> DataFrame:
                 sketch = [np.repeat(fps[:, i].view(np.int64), many) for i in range(SKETCH)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(held).view(np.int64), *same, *sketch)], names=["slot", "mark", "n", "root", *[f"s{i}" for i in range(SKETCH)]])
 
-    return classes.select("mark", "n", "root", "prints", "parts").mapInArrow(run, _FIELDS)
+    return classes.select("mark", "n", "root", "prints", "parts").mapInArrow(released(run), _FIELDS)
 
 
 def _near(slot: np.ndarray, mark: np.ndarray, n: np.ndarray, root: np.ndarray, sketch: np.ndarray, similar: float, radius: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,7 +236,7 @@ def candidates(classes: DataFrame, blocks: list[list[Block]], similar: float, ev
             both = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
-    return rows.repartition(partitions(spark), "slot").mapInArrow(run, "u long, v long")
+    return rows.repartition(partitions(spark), "slot").mapInArrow(released(run), "u long, v long")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
