@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hmm import tokens
-from .shared import lookup, map_texts, released, slices, staged
+from .shared import SMALL_BYTES, lookup, map_texts, released, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct trusted instances and confidence that a pattern needs.
@@ -27,6 +27,8 @@ ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
 #: Words of a pattern, the longest first, and what is added to its occurrences.
 DEPTHS = (3, 2, 1)
 PRIOR = 0.5
+#: Text whose words are hashed at a time, in bytes; what is held beside it is some hundred times as much.
+HASHED = 1 << 17
 #: Patterns whose words are counted in one pass over the texts; more are counted in further passes.
 BLOCK = 1_000_000
 #: Trusted patterns (of some 50 bytes) that are broadcast at most, to mask texts in one pass.
@@ -160,6 +162,20 @@ def _runs(hashes: np.ndarray, inside: np.ndarray, depth: int) -> np.ndarray:
     return out[inside >= depth - 1]
 
 
+def _counted(batches: Iterator[pa.RecordBatch], text_col: str, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(key, n)``: how often the runs of words with the hashes ``wanted`` (in order) occur."""
+    counts = np.zeros(len(wanted), np.int64)
+    for batch in slices(batches, text_col, HASHED):
+        h, _, n = tokens([t or "" for t in batch.column(0).to_pylist()], _BETWEEN)
+        inside = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        for depth in DEPTHS if len(wanted) else ():
+            keys = _runs(h, inside, depth)
+            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+            np.add.at(counts, at[wanted[at] == keys], 1)
+    some = counts > 0
+    yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(counts[some])], names=["key", "n"])
+
+
 def occurrences(docs: DataFrame, phrases: DataFrame, text_col: str = "text") -> DataFrame:
     """``(words, n)``: how often each of ``phrases`` (``words``: one to three, joined by spaces)
     occurs in the texts, wherever in them.
@@ -184,26 +200,16 @@ def occurrences(docs: DataFrame, phrases: DataFrame, text_col: str = "text") ->
                 keys[own] = every[(first + counts - 1)[own]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], names=["words", "key", "depth"])
 
-    keyed = staged(phrases.select("words").mapInArrow(hashed, "words string, key long, depth int"), "pii-phrases")
+    keyed = staged(phrases.select("words").mapInArrow(released(hashed), "words string, key long, depth int"), "pii-phrases")
     told = None
     for block in range(n_blocks):
         mine = keyed.where(F.pmod("key", F.lit(n_blocks)) == block).select("key").toPandas()["key"].to_numpy(np.int64)
         shipped = spark.sparkContext.broadcast(np.unique(mine.view(np.uint64)))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            wanted = shipped.value
-            counts = np.zeros(len(wanted), np.int64)
-            for batch in slices(batches, text_col, 1 << 20):
-                h, _, n = tokens([t or "" for t in batch.column(0).to_pylist()], _BETWEEN)
-                inside = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                for depth in DEPTHS if len(wanted) else ():
-                    keys = _runs(h, inside, depth)
-                    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                    counts += np.bincount(at[wanted[at] == keys], minlength=len(wanted))
-            some = counts > 0
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(counts[some])], names=["key", "n"])
-
-        part = docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            yield from _counted(batches, text_col, shipped.value)
+
+        part = docs.select(text_col).mapInArrow(released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         told = part if told is None else told.unionByName(part)
     if told is None:
         return phrases.select("words", F.lit(0).cast("long").alias("n")).limit(0)
@@ -228,7 +234,7 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(rows, "text", f"row long, id {kind}, spans array<{_SPAN}>, seen array<struct<start:int,kind:int,end:int,seed:boolean,instance:string,patterns:array<string>>>", step)
+    return map_texts(rows, "text", f"row long, id {kind}, spans array<{_SPAN}>, seen array<struct<start:int,kind:int,end:int,seed:boolean,instance:string,patterns:array<string>>>", step, SMALL_BYTES)
 
 
 def trusted_patterns(edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -350,7 +356,7 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return [(s["start"], s["kind"], s["end"]) for s in held or []]
 
     def run(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SMALL_BYTES):
             held = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows
             texts = [t if t is None else _mask(t, spans_of(t, h)) for t, h in zip(batch.column(at).to_pylist(), held, strict=True)]
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]

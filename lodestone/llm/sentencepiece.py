@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import map_texts
+from .shared import SMALL_BYTES, map_texts
 
 #: Stands for a space within pieces.
 SPACE = "▁"
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         return {id_col: batch.column(0), "n_pieces": pa.array(n), "pieces": pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found) if found else np.empty(0, np.int32))).cast(pa.list_(pa.field("element", pa.int32())))}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, n_pieces long, pieces array<int>", step, done=_forget)
+    return map_texts(docs.select(id_col, text_col), text_col, f"`{id_col}` {kind}, n_pieces long, pieces array<int>", step, SMALL_BYTES, done=_forget)
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Texts handed to one Python step at a time, in UTF-8 bytes; longer texts go alone.
 BATCH_BYTES = 4 << 20
+#: The same for steps that hold many times their texts while an executor's heap is at its largest.
+SMALL_BYTES = 1 << 19
 
 _own_dirs: dict[str, str] = {}
 
