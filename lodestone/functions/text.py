@@ -6,7 +6,10 @@ import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +149,72 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold(tr_lower(c)), BETWEEN), lambda t: (F.octet_length(t) >= 2) & (F.length(t) <= 40))
 
 
+#: Characters whose case, base letter and kind are the same in every version of Unicode at hand:
+#: Latin letters up to here, and general punctuation.
+_LATIN, _PUNCTUATION = 0x250, range(0x2000, 0x2070)
+_RARE = rf"[^\x{{0}}-\x{{{_LATIN - 1:X}}}\x{{{_PUNCTUATION[0]:X}}}-\x{{{_PUNCTUATION[-1]:X}}}]"
+
+
+def _token_map() -> np.ndarray:
+    """What ``tokens`` makes of each of these characters before it splits: a letter, digit or space."""
+    base, out = dict(zip(FOLD_FROM, FOLD_TO, strict=True)), np.full(1 << 16, ord(" "), np.uint16)
+    for code in range(_LATIN):
+        c = {"I": "ı", "İ": "i"}.get(chr(code), chr(code)).lower()
+        c = base.get(c, c)
+        if unicodedata.category(c)[0] in "LN":
+            out[code] = ord(c)
+    return out
+
+
+_TOKEN_MAP = _token_map()
+
+
+def token_sources(c: Column) -> list[Column]:
+    """``plain``: texts whose tokens ``counted_terms`` finds by itself; ``others``: tokens of the rest."""
+    rare = (F.octet_length(c) != F.length(c)) & c.rlike(_RARE)
+    return [F.when(~rare, c).alias("plain"), F.when(rare, tokens(c)).alias("others")]
+
+
+def pieces(batch: pa.RecordBatch, rows: int = 1000, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch with ``plain`` in parts of bounded rows and bytes; longer texts go alone."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(batch["plain"]).to_pylist()):
+        if i > start and (i - start >= rows or held + (n or 0) > limit):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def counted_terms(piece: pa.RecordBatch, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with ``token_sources``: numbers of tokens (-1: no text), and how often (``tf``) a row
+    has which of ``words``: rows, words' numbers, ``tf``."""
+    n, found, sizes = np.full(piece.num_rows, -1, np.int64), [], np.zeros(piece.num_rows, np.int64)
+    for i, (plain, others) in enumerate(zip(piece["plain"], piece["others"], strict=True)):
+        if (s := plain.as_py()) is not None:
+            codes = _TOKEN_MAP[np.frombuffer(s.encode("utf-16-le"), np.uint16)]
+            every = codes.tobytes().decode("utf-16-le").split()
+            n[i] = _sized(codes)
+        elif (every := others.as_py()) is not None:
+            n[i] = len(every)
+        else:
+            continue
+        mine = [words[t] for t in every if t in words]
+        found += mine
+        sizes[i] = len(mine)
+    key, tf = np.unique(np.repeat(np.arange(piece.num_rows), sizes) * len(words) + np.array(found, np.int64), return_counts=True)
+    doc, term = np.divmod(key, max(1, len(words)))
+    return n, doc, term, tf
+
+
+def _sized(codes: np.ndarray) -> int:
+    """How many words have the size of a token: 40 characters at most, two bytes at least."""
+    edges = np.flatnonzero(np.diff(codes != ord(" "), prepend=False, append=False))
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    return int(((size <= 40) & ((size > 1) | (codes[starts] > 127))).sum())
+
+
 def without_repeats(a: Column) -> Column:
     """An array without elements equal to the one before."""
     return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))

@@ -341,6 +341,15 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(v, "vec").drop("vec")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """``_chunks`` without vectors.  If every number has its vector, no text moves to meet one."""
+    v, n = _vectors(spark, d)
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "classification", (F.col("doc_id") % n).alias("vec"))
+    seen = v.agg(F.count("vec").alias("n"), F.count_distinct("vec").alias("distinct"), F.min("vec").alias("first"), F.max("vec").alias("last")).head()
+    whole = tuple(seen) == (n, n, 0, n - 1)
+    return (rows.where("vec >= 0") if whole else rows.join(v.select("vec"), "vec")).drop("vec")
+
+
 _SQL_CHUNKS = "nv AS (SELECT count(*) AS n FROM embeddings), chunks AS (SELECT doc_id AS id, text, classification, embedding FROM " + DOCS + " d CROSS JOIN nv JOIN embeddings ON vec_id = doc_id % n), asked AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark CROSS JOIN nv JOIN embeddings ON vec_id = item_id % n)"
 _SQL_BM25 = f"""tok AS (SELECT id, classification, {sql_tokens('text')} AS t FROM chunks), lens AS (SELECT id, len(t) AS n FROM tok), stats AS (SELECT count(*) AS n_chunks, greatest(avg(n), 1) AS avg_n FROM lens),
     post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -356,8 +365,7 @@ _SQL_FUSE = f"""fu0 AS (SELECT query_id, id, sum(1 / ({retrieval.RRF_K} + rank))
 
 @query(f"WITH {_SQL_CHUNKS}, {_SQL_BM25} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM sp WHERE rank <= 10")
 def bm25_search(spark, d):
-    c, q = _chunks(spark, d), _queries(spark, d)
-    hits = retrieval.bm25(retrieval.postings(c, only=retrieval.query_postings(q)), retrieval.corpus_stats(c), q, 10, c.select("id", "classification"))
+    hits = retrieval.sparse(_texts(spark, d), _queries(spark, d), 10)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
