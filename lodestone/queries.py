@@ -379,7 +379,7 @@ def dense_search(spark, d):
 def rank_fusion(spark, d):
     c, q = _chunks(spark, d), _queries(spark, d)
     a = retrieval.dense(c.drop("text"), q, 100)
-    b = retrieval.bm25(retrieval.postings(c, only=retrieval.query_postings(q)), retrieval.corpus_stats(c), q, 100, c.select("id", "classification"))
+    b = retrieval.sparse(_texts(spark, d), q, 100)
     return retrieval.fuse(a, b, k=20).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
