@@ -388,7 +388,7 @@ def rank_fusion(spark, d):
         FROM fu LEFT JOIN de ON de.query_id = fu.query_id AND de.id = fu.id LEFT JOIN sp ON sp.query_id = fu.query_id AND sp.id = fu.id LEFT JOIN best ON best.query_id = fu.query_id)
     SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sc WHERE score >= 0 QUALIFY rank <= 10""")
 def hybrid_search(spark, d):
-    hits = retrieval.hybrid(_chunks(spark, d), _queries(spark, d), diversify=False, expand=False)
+    hits = retrieval.hybrid(_chunks(spark, d), _queries(spark, d), diversify=False, expand=False, texts=_texts(spark, d))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

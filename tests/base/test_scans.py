@@ -49,7 +49,7 @@ def test_scan_scores_as_the_index(spark, monkeypatch, at_once, asked):
     assert as_rows(found) == as_rows(want) and want.count() > 20
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "rank_fusion"])
+@pytest.mark.parametrize("name", ["bm25_search", "rank_fusion", "hybrid_search"])
 def test_no_text_moves(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
