@@ -33,10 +33,10 @@ def _row(kind: Column, said: Column, markers: Column, ratio: Column, level: Colu
     return [F.col("query_id"), kind.alias("kind"), said.alias("answer"), markers.cast("array<int>").alias("markers"), ratio.cast("double").alias("support_ratio"), level.cast("int").alias("classification"), lang.alias("lang"), cached.alias("cached"), warnings.cast("array<string>").alias("warnings"), trace.alias("trace")]
 
 
-def _answered(asked: DataFrame, chunks: DataFrame, limits: retrieval.Limits, output_guard: bool, budget: int, generate, step: int) -> DataFrame:
+def _answered(asked: DataFrame, chunks: DataFrame, limits: retrieval.Limits, output_guard: bool, budget: int, generate, step: int, texts: DataFrame | None = None) -> DataFrame:
     """One step: retrieval, context, answer and output guard for each query of ``asked``."""
-    hits = retrieval.hybrid(chunks, asked, limits)
-    texts = chunks
+    hits = retrieval.few_hits(retrieval.hybrid(chunks, asked, limits, texts=texts), asked, limits.final)
+    texts = chunks if texts is None else texts
     for name, default in _DETAILS.items():
         if name not in texts.columns:
             texts = texts.withColumn(name, F.lit(default).cast("string") if default or name == "heading_path" else F.lit(1))
@@ -79,7 +79,7 @@ def keyed(queries: DataFrame, model: str) -> DataFrame:
     return queries.withColumns({"scope": scope, "key": answer.cache_key(F.col("query"), F.lit(model), F.col("clearance"), docs)})
 
 
-def ask(queries: DataFrame, chunks: DataFrame, limits: retrieval.Limits = retrieval.Limits(), output_guard: bool = True, budget: int = 4000, cache: DataFrame | None = None, now: Column | None = None, model: str = "extractive", generate: Callable[[list[str]], list[str | None]] | None = None, rewrite: Callable[[list[str]], list[str | None]] | None = None, max_steps: int = 1) -> DataFrame:
+def ask(queries: DataFrame, chunks: DataFrame, limits: retrieval.Limits = retrieval.Limits(), output_guard: bool = True, budget: int = 4000, cache: DataFrame | None = None, now: Column | None = None, model: str = "extractive", generate: Callable[[list[str]], list[str | None]] | None = None, rewrite: Callable[[list[str]], list[str | None]] | None = None, max_steps: int = 1, texts: DataFrame | None = None) -> DataFrame:
     """``(query_id, kind, answer, markers, support_ratio, classification, lang, cached, warnings,
     trace)`` for each query.
 
@@ -89,7 +89,8 @@ def ask(queries: DataFrame, chunks: DataFrame, limits: retrieval.Limits = retrie
     language.  ``cache`` (``key, scope, clearance, vector, answer, markers, classification,
     created_at``) answers what it has.  ``generate`` writes answers from prompts; without it, and
     where it says nothing, sentences are extracted.  With ``rewrite``, refused queries are asked in
-    other words, ``max_steps`` times in all.
+    other words, ``max_steps`` times in all.  ``texts``: the chunks without their vectors, if these are
+    kept apart (as for ``hybrid``).
     """
     # A batch of queries is small beside the chunks: what is known of it is settled between the parts
     # of the plan, each of which would otherwise plan and work it out again.
@@ -104,7 +105,7 @@ def ask(queries: DataFrame, chunks: DataFrame, limits: retrieval.Limits = retrie
         told = told.unionByName(met.select(*_row(F.lit("grounded"), F.col("answer"), F.col("markers"), F.lit(1.0), F.col("classification"), F.col("lang"), F.lit(True), none, _trace(("cache", F.col("hit"))))))
         open_ = open_.join(probes.select("query_id"), "query_id", "left_anti")
         open_ = settled(open_)
-    found = _answered(open_, chunks, limits, output_guard, budget, generate, 1)
+    found = _answered(open_, chunks, limits, output_guard, budget, generate, 1, texts)
     for step in range(2, max_steps + 1):
         if rewrite is None:
             break
@@ -112,7 +113,7 @@ def ask(queries: DataFrame, chunks: DataFrame, limits: retrieval.Limits = retrie
         again = found.where("kind = 'refused'").select("query_id", F.col("trace").alias("before"))
         words = hooks.generated(open_.join(again.select("query_id"), "query_id", "left_semi").select("query_id", F.col("query").alias("prompt")), rewrite).where("answer is not null")
         asked = open_.join(words.select("query_id", F.col("answer").alias("__query")), "query_id").withColumn("query", F.col("__query")).drop("__query")
-        more = _answered(settled(asked), chunks, limits, output_guard, budget, generate, step).join(again, "query_id").withColumn("trace", F.concat("before", _trace(("rewrite", F.lit(step))), F.col("trace"))).select(*_COLUMNS)
+        more = _answered(settled(asked), chunks, limits, output_guard, budget, generate, step, texts).join(again, "query_id").withColumn("trace", F.concat("before", _trace(("rewrite", F.lit(step))), F.col("trace"))).select(*_COLUMNS)
         found = found.join(more.select("query_id"), "query_id", "left_anti").select(*_COLUMNS).unionByName(more)
     return told.unionByName(found)
 

@@ -570,4 +570,4 @@ def latency_histogram(spark, d):
 
 @query()
 def ask_batch(spark, d):
-    return ask(_queries(spark, d), _chunks(spark, d), retrieval.Limits())
+    return ask(_queries(spark, d), _chunks(spark, d), retrieval.Limits(), texts=_texts(spark, d))

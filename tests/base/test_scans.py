@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import queries
 from lodestone.functions import text
 from lodestone.operators import retrieval
+from lodestone.plans.ask import ask
 
 WORDS = ["bakım", "BAKIM", "plan", "İstanbul", "ıslak", "straße", "ø", "x", "café", "ΣΟΦΟΣ", "中文", "áb", "naïve", "y" * 41, "z" * 40, "½", "ﬁne", "don't", "ǅabc", "9", "42", "— dash", "​zero", "Ⱥbc", "ŁÓDŹ", "𝔘nicode", "Ωmega", "\n\n", " "]
 
@@ -56,6 +57,23 @@ def test_no_text_moves(spark, sf_dir, name):
     assert not [line for line in plan.split("\n") if "Exchange" in line and "text#" in line]
 
 
+def test_few_hits_are_broadcast(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, 2)], "query_id long, id long")
+    chunks = spark.range(10).repartition(2)
+    plan = lambda: retrieval.few_hits(hits, hits, 5).join(chunks, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(retrieval, "BROADCAST_HITS", 4)
+    assert "strategy=broadcast" not in plan()
+
+
+def test_ask_reads_texts_apart(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 4)], "id long, embedding array<float>, classification int")
+    texts = spark.createDataFrame([(1, "The pump service interval is one year. Ask the north team.", 1), (2, "Secret pump service interval is two years.", 4)], "id long, text string, classification int")
+    q = spark.createDataFrame([(1, "What is the pump service interval?", [1.0, 0.0], 2)], "query_id long, query string, vector array<float>, clearance int")
+    (row,) = ask(q, chunks, texts=texts).collect()
+    assert row.kind == "extractive" and "one year" in row.answer and row.classification == 1
+
+
 @pytest.mark.parametrize("ids", [[0, 1, 2, 3], [0, 2, 5], [0, 1, 1]])
 def test_texts_are_those_of_chunks(spark, tmp_path, ids):
     spark.createDataFrame([(k, f"t{k}") for k in (*range(-3, 12), None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
