@@ -8,8 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -26,6 +29,9 @@ LOW_CONTRAST, SMALL_SIDE, MOST_SCALE, LARGE_SIDE, LOW_CONFIDENCE = 55.0, 1400, 3
 IMAGE_SIDE, IMAGE_BYTES = 20_000, 512 * 1024 * 1024
 # ---------------------------------------------------------------------------------------------
 
+#: Characters and chunks that a worker hands back at a time.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 10_000
+
 
 @dataclass(frozen=True)
 class ChunkLimits:
@@ -310,15 +316,28 @@ def chunk_pages(pages: DataFrame, limits: ChunkLimits = ChunkLimits()) -> DataFr
     kind = pages.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "ordinal", "heading_path", "text", "page_from", "page_to", "confidence", "lang"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = T.StructType.fromDDL(f"doc_id {kind}, ordinal int, heading_path string, text string, page_from int, page_to int, confidence double, lang string")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        out, size = [], 0
         for batch in batches:
-            out = []
-            for key, held, own in zip(batch["doc_id"], batch["pages"], batch["lang"], strict=True):
+            for i in range(batch.num_rows):  # one document at a time: a batch may hold thousands of long ones
+                key, held, own = (batch[c][i].as_py() for c in ("doc_id", "pages", "lang"))
                 parts = (p for x in held for p in parts_of(x["text"], x["page_no"], x["confidence"]))
-                out += [(key, i, path, body, a, b, sure, own) for i, (path, body, a, b, sure) in enumerate(chunks_of(parts, limits))]
-            yield pd.DataFrame(out, columns=names)
-
-    found = rows.mapInPandas(run, f"doc_id {kind}, ordinal int, heading_path string, text string, page_from int, page_to int, confidence double, lang string")
+                for k, (path, body, a, b, sure) in enumerate(chunks_of(parts, limits)):
+                    out.append((key, k, path, body, a, b, sure, own))
+                    size += len(body)
+                    if size > BATCH_CHARS or len(out) >= BATCH_ROWS:
+                        yield made()
+                        out, size = [], 0
+        if out:
+            yield made()
+
+    found = rows.mapInArrow(run, schema)
     told = F.when(F.coalesce("lang", F.lit("und")) == "und", text.detect_lang(F.col("text"))).otherwise(F.col("lang"))
     return found.select("doc_id", "ordinal", chunk_id(F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), "heading_path", "text", "page_from", "page_to", text.estimate_tokens(F.col("text")).alias("tokens"), "confidence", told.alias("lang"))
 
